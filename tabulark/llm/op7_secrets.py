@@ -15,6 +15,7 @@ import math
 import re
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import by_batch
@@ -140,6 +141,25 @@ def redact(text: str | None, mark: str = "[SECRET]") -> str | None:
     return "".join(out) + text[at:]
 
 
+def redacted(docs: DataFrame) -> DataFrame:
+    """All rows and columns, secrets in text replaced; n_chars, if there, follows."""
+    names = [c.lower() for c in docs.columns]
+    at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches):
+        for batch in batches:
+            old = batch.column(at).to_pylist()
+            new = [redact(t) for t in old]
+            if new != old:
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+                if size is not None:
+                    n = [k if a is b or a == b else len(b) for k, a, b in zip(batch.column(size).to_pylist(), old, new)]
+                    batch = batch.set_column(size, batch.schema.field(size), pa.array(n, batch.schema.field(size).type))
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
