@@ -1 +1 @@
-
+"""The engine's statements are all batch; there is nothing to stream yet."""
