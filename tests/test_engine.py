@@ -127,7 +127,7 @@ def test_except_kinds(spark):
 
 
 def test_join_plans(spark):
-    a, b = (spark.createDataFrame([(1,), (1,), (2,)], "k int"), spark.createDataFrame([(1,), (1,), (1,), (3,)], "k int"))
+    a, b = (spark.sql(f"select * from values {v} as t(k)") for v in ("(1), (1), (2)", "(1), (1), (1), (3)"))
     q = Query(a, "a").join(b, "b").on("k", "k")
     plans = {m: q.prefer(m).build() for m in ("bnl", "merge")}
     assert [p.count() for p in plans.values()] == [6, 6]
