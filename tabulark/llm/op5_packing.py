@@ -30,6 +30,8 @@ CAPACITY, END_ID = 4096, 1
 SMALL, GROUPS, ROWS = 8, 24, 2000
 #: Chunks of text whose ids a worker keeps.
 CACHE = 200_000
+#: Stops that end a word in a chunk.
+ENDS = ".,!?;:"
 
 
 class ChunkEncoder:
@@ -51,23 +53,50 @@ class ChunkEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if "<|" not in c]
+        """Words of letters are encoded in one text and told apart by the
+        tokenizer's word numbers; a word and its stop are put together; all
+        other chunks are encoded with a mark between them."""
+        known, letters, ended, odd = self.known, [], [], []
+        for c in chunks:
+            if c.isalpha():
+                letters.append(c)
+            elif c[-1] in ENDS and c[:-1].isalpha():
+                ended.append(c)
+                if c[:-1] not in known:
+                    letters.append(c[:-1])
+            else:
+                odd.append(c)
+        letters = list(dict.fromkeys(letters))
+        for at in range(0, len(letters), 4096):
+            part = letters[at : at + 4096]
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, word = np.array(got.ids, dtype="<u4"), np.array(got.word_ids)
+            begins = np.flatnonzero(np.diff(word, prepend=-1))
+            if len(begins) == len(part):
+                raw, ends = ids.tobytes(), [*(4 * begins[1:]).tolist(), 4 * len(ids)]
+                known.update(zip(part, (raw[x:y] for x, y in zip((4 * begins).tolist(), ends))))
+            else:
+                odd += part
+        for c in ENDS:
+            if c not in known:
+                known[c] = self._encode(c).tobytes()
+        plain = [c for c in odd if "<|" not in c]
         for at in range(0, len(plain), 4096):
             part = plain[at : at + 4096]
             ids = self._encode(f" {self.mark} ".join(part))
             ends = [*np.flatnonzero(ids == self.mark_id), len(ids)]
-            if len(ends) != len(part):
-                ends = None
             start = 0
             for i, c in enumerate(part):
-                if ends is None:
-                    self.known[c] = self._encode(c).tobytes()
-                else:
-                    self.known[c] = ids[start : ends[i]].tobytes()
+                if len(ends) == len(part):
+                    known[c] = ids[start : ends[i]].tobytes()
                     start = ends[i] + 1
-        for c in chunks:
+                else:
+                    known[c] = self._encode(c).tobytes()
+        for c in odd:
             if "<|" in c:
-                self.known[c] = self._encode(c).tobytes()
+                known[c] = self._encode(c).tobytes()
+        for c in ended:
+            known[c] = known[c[:-1]] + known[c[-1]]
 
     def __call__(self, text: str) -> bytes:
         chunks = text.replace("\n", " ").split(" ")
@@ -76,8 +105,7 @@ class ChunkEncoder:
                 self.known = {"": b""}
                 new = list(set(chunks) - {""})
             self.learn(new)
-        known = self.known
-        return b"".join([known[c] for c in chunks])
+        return b"".join(map(self.known.__getitem__, chunks))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
