@@ -11,10 +11,12 @@ exactly on their shingles.
 
 Equal texts are one node.  Links are sought round by round: in every bucket all
 members are compared with its least member only, and what links becomes one
-class; members of a bucket that are in different classes then are compared in
-pairs if they are few, and else fall into finer buckets (two bands together,
-then three) in which the round begins again.  So no link between classes is
-given up, and no group is expanded into its pairs.
+class.  Where a bucket then still holds several classes, members of different
+classes are compared by their sketches (a byte of each sample), and only pairs
+whose sketches do not rule the similarity out (four deviations) go on to their
+texts.  Buckets with too many such comparisons fall into finer ones (two bands
+together, then three) in which the round begins again.  So no link between
+classes is given up, and no group is expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +33,8 @@ from .op1_langid import letters
 
 SHINGLE, SIMILARITY = 5, 0.8
 COORDINATES, ROWS = 80, 4
-#: Members of a bucket up to which different classes are compared in pairs.
-FEW = 32
+#: Members of a bucket, and comparisons between its classes, beyond which it is made finer.
+MEMBERS, COMPARED = 65_536, 8_000_000
 
 _word: np.ndarray | None = None
 _powers = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
@@ -124,16 +127,93 @@ def darts(elements: np.ndarray, weights: np.ndarray, k: int = COORDINATES) -> np
         limit *= 2
 
 
-def bands(text: str | None, k: int = COORDINATES, rows: int = ROWS) -> list[int]:
-    """A signed 64-bit key for each band; none for a text without a word."""
+def signature(text: str | None, k: int = COORDINATES, rows: int = ROWS) -> tuple[list[int], bytes]:
+    """A signed 64-bit key for each band, and the sketch; nothing for a text without a word."""
     elements = shingles(text)
     if not len(elements):
-        return []
-    sample = darts(elements, np.ones(len(elements)), k).reshape(-1, rows)
+        return [], b""
+    found = darts(elements, np.ones(len(elements)), k)
+    sample = found.reshape(-1, rows)
     key = np.arange(1, len(sample) + 1, dtype=np.uint64)
     for r in range(rows):
         key = _mix(key * np.uint64(0xD6E8FEB86659FD93) + sample[:, r])
-    return key.astype(np.int64).tolist()
+    return key.astype(np.int64).tolist(), (found >> np.uint64(32)).astype(np.uint8).tobytes()
+
+
+def agreement(least: float, k: int = COORDINATES) -> int:
+    """Samples that sketches of so similar texts share but for four deviations."""
+    return max(1, math.floor(k * (least - 4 * math.sqrt(least * (1 - least) / k))))
+
+
+def likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Those pairs (a, b) whose sketches do not rule the similarity out."""
+    need = agreement(least)
+    sides = [nodes.select(F.col("key").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
+
+    def each(got, _):
+        x, y = (np.frombuffer(b"".join(got[f"sketch_{s}"]), np.uint8).reshape(-1, COORDINATES) for s in "ab")
+        keep = np.flatnonzero((x == y).sum(1) >= need)
+        return {s: [got[s][i] for i in keep] for s in "ab"}
+
+    return by_batch(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sketch_a", "sketch_b"), each, "a binary, b binary")
+
+
+def across(rows: DataFrame, least: float) -> DataFrame:
+    """Likely pairs (a, b) of different classes in a bucket of rows(bucket, key, label, sketch).
+
+    Rows pass in the order of their buckets; a bucket's comparisons are made in
+    bounded pieces and only likely pairs leave.
+    """
+    need = agreement(least)
+
+    def pairs_of(bucket, label, sketch):
+        n = len(bucket)
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        size = np.diff(np.concatenate([starts, [n]]))
+        of = np.repeat(size, size)
+        for d in range(1, min(64, int(size.max(initial=1)))):  # all small buckets at once
+            i = np.flatnonzero((bucket[d:] == bucket[:-d]) & (of[d:] <= 64) & (label[d:] != label[:-d]))
+            for at in range(0, len(i), 100_000):
+                part = i[at : at + 100_000]
+                hit = part[(sketch[part] == sketch[part + d]).sum(1) >= need]
+                yield hit, hit + d
+        for start, m in zip(starts[size > 64], size[size > 64]):
+            s, lab = sketch[start : start + m], label[start : start + m]
+            step = max(1, 500_000 // m)
+            for at in range(0, m, step):
+                x = s[at : at + step]
+                ok = (lab[at : at + step, None] != lab[None, :]) & (np.arange(at, at + len(x))[:, None] < np.arange(m)[None, :])
+                i, j = np.nonzero(ok)
+                for c in range(0, len(i), 100_000):
+                    a, b = i[c : c + 100_000], j[c : c + 100_000]
+                    good = (x[a] == s[b]).sum(1) >= need
+                    yield start + at + a[good], start + b[good]
+
+    def found(keys, bucket, label, sketch):
+        code = np.unique(np.array(label, dtype=object).astype("S16") if label else np.zeros(0, "S16"), return_inverse=True)[1]
+        a, b = [], []
+        for i, j in pairs_of(np.array(bucket, np.int64), code, np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, COORDINATES)):
+            for x, y in zip(i.tolist(), j.tolist()):
+                x, y = keys[x], keys[y]
+                a.append(min(x, y))
+                b.append(max(x, y))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    def run(batches):
+        kept: list[list] = [[], [], [], []]
+        for batch in batches:
+            for k, c in zip(kept, ("key", "bucket", "label", "sketch")):
+                k += batch.column(c).to_pylist()
+            end = len(kept[1])
+            while end and kept[1][end - 1] == kept[1][-1]:  # the last bucket may go on
+                end -= 1
+            if end:
+                yield found(*(k[:end] for k in kept))
+                kept = [k[end:] for k in kept]
+        if kept[0]:
+            yield found(*kept)
+
+    return rows.select("key", "bucket", "label", "sketch").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -194,7 +274,7 @@ def _of(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
     return nodes.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
 
 
-def near_classes(docs: DataFrame, least: float = SIMILARITY, few: int = FEW) -> DataFrame:
+def near_classes(docs: DataFrame, least: float = SIMILARITY, compared: int = COMPARED) -> DataFrame:
     """doc_id, key (md5 of the text), class_id of each row of docs(doc_id, text, ...).
 
     class_id is the least doc_id of the texts that links join.  Null texts are
@@ -207,31 +287,33 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, few: int = FEW) ->
     base = docs.select("doc_id", text.alias("text")).withColumn("key", F.unhex(F.md5("text")))
 
     def sign(got, _):
-        return {"doc_id": got["doc_id"], "key": got["key"], "bands": [bands(t) for t in got["text"]]}
+        both = [signature(t) for t in got["text"]]
+        return {"doc_id": got["doc_id"], "key": got["key"], "bands": [b for b, _ in both], "sketch": [s for _, s in both]}
 
-    signed = written(by_batch(base, sign, "doc_id bigint, key binary, bands array<bigint>"), "signed")
-    nodes = written(signed.groupBy("key").agg(F.first("bands").alias("bands")), "nodes")
+    signed = written(by_batch(base, sign, "doc_id bigint, key binary, bands array<bigint>, sketch binary"), "signed")
+    nodes = written(signed.groupBy("key").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).where("size(bands) > 0"), "nodes")
     edges: DataFrame | None = None
     labels: DataFrame | None = None
     rows = nodes.select("key", F.explode("bands").alias("bucket"))
     for depth in range(3):
         # members of buckets of two or more, with the least member
         met = rows.groupBy("bucket").agg(F.min("key").alias("head"), F.count("*").alias("size")).where("size > 1")
-        held = written(rows.join(met, "bucket"), "held")
-        stars = _of(held.where("key != head"), labels) if depth else held.where("key != head").withColumn("label", F.col("key"))
-        if depth:
+        held = written(rows.join(met.drop("size"), "bucket"), "held")
+        stars = held.where("key != head")
+        if depth:  # not those that are one class already
             heads = _of(stars.select(F.col("head").alias("key")).distinct(), labels).withColumnsRenamed({"key": "head", "label": "head_label"})
-            stars = stars.join(heads, "head").where("label != head_label")
-        edges, labels = _linked_too(stars.select(F.col("key").alias("a"), F.col("head").alias("b")).distinct(), base, edges, labels, least, few)
-        open_ = _of(held, labels)
-        mixed = open_.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
-        open_ = written(open_.join(mixed, "bucket"), "open")
+            stars = _of(stars, labels).join(heads, "head").where("label != head_label")
+        stars = stars.select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
+        edges, labels = _linked_too(likely(stars, nodes, least), base, edges, labels, least)
+        classed = _of(held, labels)
+        # comparisons between classes: all pairs less those inside a class
+        counted = classed.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("classes"))
+        mixed = counted.where("classes > 1").select("bucket", ((F.col("n") > MEMBERS) | ((F.col("n") * F.col("n") - F.col("same")) / 2 > compared)).alias("large"))
+        open_ = written(classed.join(mixed, "bucket").select("bucket", "key", "label", "large"), "open")
         forget(held)
-        small = open_.where(F.col("size") <= few) if depth < 2 else open_
-        left, right = (small.select("bucket", F.col("key").alias(x), F.col("label").alias(f"label_{x}"), "head") for x in "ab")
-        pairs = left.join(right.drop("head"), "bucket").where("a < b and label_a != label_b and a != head and b != head").select("a", "b").distinct()
-        edges, labels = _linked_too(pairs, base, edges, labels, least, few)
-        large = open_.where(F.col("size") > few).select("key", "bucket")
+        now = open_ if depth == 2 else open_.where("not large")
+        edges, labels = _linked_too(across(now.join(nodes.select("key", "sketch"), "key"), least), base, edges, labels, least)
+        large = open_.where("large").select("key", "bucket")
         if depth == 2 or large.isEmpty():
             forget(open_)
             break
@@ -243,7 +325,7 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, few: int = FEW) ->
     return named.join(ids, "label").select("doc_id", "key", "class_id")
 
 
-def _linked_too(pairs: DataFrame, base: DataFrame, edges, labels, least, few):
+def _linked_too(pairs: DataFrame, base: DataFrame, edges, labels, least):
     """Compare pairs; the edges and labels with what they link."""
     pairs = written(pairs, "pairs")
     if pairs.isEmpty():
