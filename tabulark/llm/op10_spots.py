@@ -15,6 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Common words of four languages: the anchors (fixed values).
 ANCHORS = (
     "a an and are as at be by for from has he in is it its of on or that the this to was were will with you "
@@ -135,6 +137,7 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 def signature_classes(docs: DataFrame) -> DataFrame:
     """Each document with spots and class_id, the least doc_id of equal signatures."""
     got = with_spots(docs.select("doc_id", "text"), "text", "spots").select("doc_id", "spots", F.sha2(F.array_join("spots", ","), 256).alias("sig"))
+    got = written(got, "spots")  # else filters on spots would be pushed below and repeat their expressions
     least = got.groupBy("sig").agg(F.min("doc_id").alias("class_id"))
     return got.join(least, "sig").drop("sig")
 
