@@ -12,11 +12,15 @@ exactly on their shingles.
 Equal texts are one node.  Links are sought round by round: in every bucket all
 members are compared with its least member only, and what links becomes one
 class.  Where a bucket then still holds several classes, members of different
-classes are compared by their sketches (a byte of each sample), and only pairs
-whose sketches do not rule the similarity out (four deviations) go on to their
-texts.  Buckets with too many such comparisons fall into finer ones (two bands
-together, then three) in which the round begins again.  So no link between
-classes is given up, and no group is expanded into its pairs.
+classes are compared by their sketches (a byte of each sample); members that
+have a partner whose sketch does not rule the similarity out (four deviations)
+bring their texts to the bucket, where such pairs are compared exactly unless
+links found there have made them one class already.  Only those links leave, so
+fewer than the bucket has members.  Buckets with too many such comparisons fall
+into finer ones (two bands together, then three) in which the round begins
+again.  So no link between classes is given up, and no group is expanded into
+rows for its pairs.  Buckets whose texts are too long to be held together send
+their likely pairs to the texts instead.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 COORDINATES, ROWS = 80, 4
 #: Members of a bucket, and comparisons between its classes, beyond which it is made finer.
 MEMBERS, COMPARED = 65_536, 8_000_000
+#: Characters of a bucket's texts that a task holds together.
+HELD = 16_000_000
 
 _word: np.ndarray | None = None
 _powers = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
@@ -158,62 +164,133 @@ def likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return by_batch(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sketch_a", "sketch_b"), each, "a binary, b binary")
 
 
-def across(rows: DataFrame, least: float) -> DataFrame:
-    """Likely pairs (a, b) of different classes in a bucket of rows(bucket, key, label, sketch).
-
-    Rows pass in the order of their buckets; a bucket's comparisons are made in
-    bounded pieces and only likely pairs leave.
-    """
-    need = agreement(least)
-
-    def pairs_of(bucket, label, sketch):
-        n = len(bucket)
-        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        size = np.diff(np.concatenate([starts, [n]]))
-        of = np.repeat(size, size)
-        for d in range(1, min(64, int(size.max(initial=1)))):  # all small buckets at once
-            i = np.flatnonzero((bucket[d:] == bucket[:-d]) & (of[d:] <= 64) & (label[d:] != label[:-d]))
-            for at in range(0, len(i), 100_000):
-                part = i[at : at + 100_000]
-                hit = part[(sketch[part] == sketch[part + d]).sum(1) >= need]
-                yield hit, hit + d
-        for start, m in zip(starts[size > 64], size[size > 64]):
-            s, lab = sketch[start : start + m], label[start : start + m]
-            step = max(1, 500_000 // m)
-            for at in range(0, m, step):
-                x = s[at : at + step]
-                ok = (lab[at : at + step, None] != lab[None, :]) & (np.arange(at, at + len(x))[:, None] < np.arange(m)[None, :])
-                i, j = np.nonzero(ok)
-                for c in range(0, len(i), 100_000):
-                    a, b = i[c : c + 100_000], j[c : c + 100_000]
-                    good = (x[a] == s[b]).sum(1) >= need
-                    yield start + at + a[good], start + b[good]
-
-    def found(keys, bucket, label, sketch):
-        code = np.unique(np.array(label, dtype=object).astype("S16") if label else np.zeros(0, "S16"), return_inverse=True)[1]
-        a, b = [], []
-        for i, j in pairs_of(np.array(bucket, np.int64), code, np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, COORDINATES)):
-            for x, y in zip(i.tolist(), j.tolist()):
-                x, y = keys[x], keys[y]
-                a.append(min(x, y))
-                b.append(max(x, y))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+def by_bucket(rows: DataFrame, columns: tuple[str, ...], each, schema: str) -> DataFrame:
+    """each(*columns as lists) of whole buckets of rows(bucket, ...), in their
+    order; it returns a list of lists for the columns of schema."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.int64() if x.endswith("bigint") else pa.binary() for x in schema.split(", ")]
+    at = columns.index("bucket")
 
     def run(batches):
-        kept: list[list] = [[], [], [], []]
+        kept: list[list] = [[] for _ in columns]
         for batch in batches:
-            for k, c in zip(kept, ("key", "bucket", "label", "sketch")):
+            for k, c in zip(kept, columns):
                 k += batch.column(c).to_pylist()
-            end = len(kept[1])
-            while end and kept[1][end - 1] == kept[1][-1]:  # the last bucket may go on
+            end = len(kept[at])
+            while end and kept[at][end - 1] == kept[at][-1]:  # the last bucket may go on
                 end -= 1
             if end:
-                yield found(*(k[:end] for k in kept))
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(each(*(k[:end] for k in kept)), kinds)], names)
                 kept = [k[end:] for k in kept]
-        if kept[0]:
-            yield found(*kept)
+        if kept[at]:
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(each(*kept), kinds)], names)
+
+    return rows.select(*columns).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+
 
-    return rows.select("key", "bucket", "label", "sketch").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a binary, b binary").distinct()
+def _ends(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of each bucket."""
+    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    return starts, np.diff(np.concatenate([starts, [len(bucket)]]))
+
+
+def _codes(label: list[bytes]) -> np.ndarray:
+    return np.unique(np.array(label, dtype=object).astype("S16") if label else np.zeros(0, "S16"), return_inverse=True)[1]
+
+
+def _likely_pairs(bucket: np.ndarray, label: np.ndarray, sketch: np.ndarray, need: int):
+    """Indexes of rows of one bucket and different classes whose sketches agree, in bounded pieces."""
+    starts, size = _ends(bucket)
+    of = np.repeat(size, size)
+    for d in range(1, min(64, int(size.max(initial=1)))):  # all small buckets at once
+        i = np.flatnonzero((bucket[d:] == bucket[:-d]) & (of[d:] <= 64) & (label[d:] != label[:-d]))
+        for at in range(0, len(i), 100_000):
+            part = i[at : at + 100_000]
+            hit = part[(sketch[part] == sketch[part + d]).sum(1) >= need]
+            yield hit, hit + d
+    for start, m in zip(starts[size > 64], size[size > 64]):
+        s, lab = sketch[start : start + m], label[start : start + m]
+        step = max(1, 500_000 // m)
+        for at in range(0, m, step):
+            x = s[at : at + step]
+            ok = (lab[at : at + step, None] != lab[None, :]) & (np.arange(at, at + len(x))[:, None] < np.arange(m)[None, :])
+            i, j = np.nonzero(ok)
+            for c in range(0, len(i), 100_000):
+                a, b = i[c : c + 100_000], j[c : c + 100_000]
+                good = (x[a] == s[b]).sum(1) >= need
+                yield start + at + a[good], start + b[good]
+
+
+def _sketches(sketch: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, COORDINATES)
+
+
+def across(rows: DataFrame, least: float) -> DataFrame:
+    """Those of rows(bucket, key, label, sketch) with a likely partner of another class in the bucket."""
+    need = agreement(least)
+
+    def marked(bucket, key, label, sketch):
+        keep = np.zeros(len(key), bool)
+        for i, j in _likely_pairs(np.array(bucket, np.int64), _codes(label), _sketches(sketch), need):
+            keep[i] = keep[j] = True
+        at = np.flatnonzero(keep).tolist()
+        return [[c[i] for i in at] for c in (bucket, key, label, sketch)]
+
+    return by_bucket(rows, ("bucket", "key", "label", "sketch"), marked, "bucket bigint, key binary, label binary, sketch binary")
+
+
+def across_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """Likely pairs (a, b) of different classes in a bucket of rows(bucket, key, label, sketch)."""
+    need = agreement(least)
+
+    def found(bucket, key, label, sketch):
+        a, b = [], []
+        for i, j in _likely_pairs(np.array(bucket, np.int64), _codes(label), _sketches(sketch), need):
+            for x, y in zip(i.tolist(), j.tolist()):
+                a.append(min(key[x], key[y]))
+                b.append(max(key[x], key[y]))
+        return [a, b]
+
+    return by_bucket(rows, ("bucket", "key", "label", "sketch"), found, "a binary, b binary").distinct()
+
+
+def joined(rows: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that join the classes of each bucket of rows(bucket, key, label, sketch, text).
+
+    A row is compared exactly with all likely later ones that are not of its
+    class by then; a link makes two classes one.
+    """
+    need = agreement(least)
+
+    def of_bucket(key, lab, sketch, own):
+        size = np.array([len(x) for x in own])
+        dense = np.unique(np.concatenate(own), return_inverse=True)[1]
+        ids = np.split(dense, np.cumsum(size)[:-1])
+        flag = np.zeros(len(dense), bool)
+        for i in range(len(key) - 1):
+            others = i + 1 + np.flatnonzero(lab[i + 1 :] != lab[i])
+            for at in range(0, len(others), 4096):
+                part = others[at : at + 4096]
+                part = part[(lab[part] != lab[i]) & ((sketch[part] == sketch[i]).sum(1) >= need) & (np.minimum(size[part], size[i]) >= least * np.maximum(size[part], size[i]) - 1e-9)]
+                if not len(part):
+                    continue
+                flag[ids[i]] = True
+                both = np.add.reduceat(flag[np.concatenate([ids[j] for j in part])].astype(np.int64), np.cumsum(size[part]) - size[part])
+                flag[ids[i]] = False
+                for j in part[both / (size[part] + size[i] - both) >= least - 1e-9].tolist():
+                    if lab[j] != lab[i]:
+                        lab[lab == lab[j]] = lab[i]
+                        yield key[i], key[j]
+
+    def found(bucket, key, label, sketch, text):
+        code, s = _codes(label), _sketches(sketch)
+        links = []
+        for start, m in zip(*(x.tolist() for x in _ends(np.array(bucket, np.int64)))):
+            one = slice(start, start + m)
+            links += of_bucket(key[one], code[one], s[one], [shingles(t) for t in text[one]])
+        return [[a for a, _ in links], [b for _, b in links]]
+
+    return by_bucket(rows, ("bucket", "key", "label", "sketch", "text"), found, "a binary, b binary")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -223,7 +300,8 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 def linked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Those pairs (a, b) of keys whose texts' shingles are at least so similar."""
-    both = pairs.join(texts.withColumnsRenamed({"key": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"key": "b", "text": "text_b"}), "b")
+    sides = [texts.select(F.col("key").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
 
     def each(got, memo):
         out = {"a": [], "b": []}
@@ -299,12 +377,15 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, compared: int = COM
         # members of buckets of two or more, with the least member
         met = rows.groupBy("bucket").agg(F.min("key").alias("head"), F.count("*").alias("size")).where("size > 1")
         held = written(rows.join(met.drop("size"), "bucket"), "held")
+        if not depth:  # one row of each text that shares a bucket; finer buckets hold no other
+            once = base.dropDuplicates(["key"]).select("key", "text")
+            texts = written(once.join(held.select("key").distinct(), "key", "left_semi").withColumn("chars", F.length("text")), "texts")
         stars = held.where("key != head")
         if depth:  # not those that are one class already
             heads = _of(stars.select(F.col("head").alias("key")).distinct(), labels).withColumnsRenamed({"key": "head", "label": "head_label"})
             stars = _of(stars, labels).join(heads, "head").where("label != head_label")
         stars = stars.select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
-        edges, labels = _linked_too(likely(stars, nodes, least), base, edges, labels, least)
+        edges, labels = _with(linked(likely(stars, nodes, least), texts, least), edges, labels)
         classed = _of(held, labels)
         # comparisons between classes: all pairs less those inside a class
         counted = classed.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("classes"))
@@ -312,7 +393,19 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, compared: int = COM
         open_ = written(classed.join(mixed, "bucket").select("bucket", "key", "label", "large"), "open")
         forget(held)
         now = open_ if depth == 2 else open_.where("not large")
-        edges, labels = _linked_too(across(now.join(nodes.select("key", "sketch"), "key"), least), base, edges, labels, least)
+        near = written(across(now.join(nodes.select("key", "sketch"), "key"), least), "near")
+        if not near.isEmpty():
+            # equal sets of members are compared once
+            sets = near.join(texts.select("key", "chars"), "key").groupBy("bucket").agg(F.bit_xor(F.xxhash64("key")).alias("set"), F.count("*").alias("n"), F.sum("chars").alias("chars"))
+            sets = written(sets.groupBy("set", "n", "chars").agg(F.min("bucket").alias("bucket")), "sets")
+            light = near.join(sets.where(F.col("chars") <= HELD).select("bucket"), "bucket", "left_semi")
+            edges, labels = _with(joined(light.join(texts, "key"), least), edges, labels)
+            long = sets.where(F.col("chars") > HELD)
+            if not long.isEmpty():
+                rest = near.drop("label").join(long.select("bucket"), "bucket", "left_semi")
+                edges, labels = _with(linked(across_pairs(_of(rest, labels), least), texts, least), edges, labels)
+            forget(sets)
+        forget(near)
         large = open_.where("large").select("key", "bucket")
         if depth == 2 or large.isEmpty():
             forget(open_)
@@ -325,17 +418,11 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, compared: int = COM
     return named.join(ids, "label").select("doc_id", "key", "class_id")
 
 
-def _linked_too(pairs: DataFrame, base: DataFrame, edges, labels, least):
-    """Compare pairs; the edges and labels with what they link."""
-    pairs = written(pairs, "pairs")
-    if pairs.isEmpty():
-        return edges, labels
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    texts = written(base.select("key", "text").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "texts")
-    found = written(linked(pairs, texts, least), "edges")
-    forget(texts)
-    forget(pairs)
+def _with(links: DataFrame, edges: DataFrame | None, labels: DataFrame | None):
+    """The edges and labels with more links."""
+    found = written(links, "edges")
     if found.isEmpty():
+        forget(found)
         return edges, labels
     edges = found if edges is None else edges.union(found)
     return edges, components(edges)
