@@ -262,6 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     for q, n in counts.items():
         share = F.when(F.col("quality") == q, min(1.0, per_label / n)).otherwise(share)
     some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003 < share)
+    some = F.broadcast(some.limit(4 * per_label))  # bounded by the parameter: no text is shuffled for it
     rows = docs.select("doc_id", "text").join(some, "doc_id").where("text is not null").select("doc_id", "text", "quality").limit(4 * per_label).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
     model = train([r.text for r in rows], [int(r.quality) for r in rows])
