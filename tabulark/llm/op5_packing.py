@@ -18,6 +18,7 @@ import math
 import os
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -28,8 +29,8 @@ from .common import by_batch, written
 CAPACITY, END_ID = 4096, 1
 #: Large lengths are over capacity / SMALL; groups of them; rows of a ranking window.
 SMALL, GROUPS, ROWS = 8, 24, 2000
-#: Chunks of text whose ids a worker keeps.
-CACHE = 200_000
+#: Chunks of text whose ids a worker keeps, from task to task; characters of texts whose new chunks are learned together.
+CACHE, TOGETHER = 600_000, 1_000_000
 #: Stops that end a word in a chunk.
 ENDS = ".,!?;:"
 
@@ -99,13 +100,36 @@ class ChunkEncoder:
             known[c] = known[c[:-1]] + known[c[-1]]
 
     def __call__(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        if new := [c for c in set(chunks) if c not in self.known]:
-            if len(self.known) + len(new) > CACHE:
-                self.known = {"": b""}
-                new = list(set(chunks) - {""})
-            self.learn(new)
-        return b"".join(map(self.known.__getitem__, chunks))
+        return next(self.each([text]))
+
+    def each(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text; new chunks of many texts are learned in one go."""
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= TOGETHER):
+                size += len(texts[end])
+                end += 1
+            split = [t.replace("\n", " ").split(" ") for t in texts[at:end]]
+            there = set().union(*split)
+            if new := there.difference(self.known):
+                if len(self.known) + len(new) > CACHE:
+                    self.known = {"": b""}
+                    new = there - {""}
+                self.learn(list(new))
+            for chunks in split:
+                yield b"".join(map(self.known.__getitem__, chunks))
+            at = end
+
+
+_encoders: dict[str, ChunkEncoder] = {}
+
+
+def encoder(path: str) -> ChunkEncoder:
+    """The worker's encoder of a vocabulary."""
+    if path not in _encoders:
+        _encoders[path] = ChunkEncoder(path)
+    return _encoders[path]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -114,15 +138,15 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
 
     def each(got, encode):
         out = defaultdict(list)
-        for doc, text in zip(got["doc_id"], got["text"]):
-            ids = encode(text or "") + end
+        for doc, ids in zip(got["doc_id"], encode.each([t or "" for t in got["text"]])):
+            ids += end
             for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]
                 for name, v in (("doc_id", doc), ("piece", k), ("start", at // 4), ("length", len(part) // 4), ("ids_crc32", zlib.crc32(part))):
                     out[name].append(v)
         return out
 
-    return by_batch(docs.select("doc_id", "text"), each, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint", lambda: ChunkEncoder(path))
+    return by_batch(docs.select("doc_id", "text"), each, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint", lambda: encoder(path))
 
 
 def _knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
