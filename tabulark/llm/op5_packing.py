@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import math
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -29,10 +30,11 @@ from .common import by_batch, written
 CAPACITY, END_ID = 4096, 1
 #: Large lengths are over capacity / SMALL; groups of them; rows of a ranking window.
 SMALL, GROUPS, ROWS = 8, 24, 2000
-#: Chunks of text whose ids a worker keeps, from task to task; characters of texts whose new chunks are learned together.
-CACHE, TOGETHER = 600_000, 1_000_000
-#: Stops that end a word in a chunk.
-ENDS = ".,!?;:"
+#: Chunks of text whose ids a worker keeps from task to task (twice as many, half of them older); characters of texts whose new
+#: chunks are learned together.
+CACHE, TOGETHER = 500_000, 300_000
+#: A chunk that is one word of letters and the ASCII marks after it. Each of these letters is its own NFC form and has one lower case.
+WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
 
 
 class ChunkEncoder:
@@ -40,47 +42,60 @@ class ChunkEncoder:
 
     The tokenizer drops white space and joins nothing across it, so a text's ids
     are those of its chunks between spaces and line ends; known chunks are
-    looked up, new ones are encoded together, a mark token between them.
+    looked up, new ones are encoded together.
     """
 
-    def __init__(self, path: str, mark: str = "<|startoftext|>"):
+    def __init__(self, path: str, mark: str = "<|startoftext|>", word_end: str = "</w>"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.mark, self.known = Tokenizer.from_file(path), mark, {"": b""}
+        self.tokenizer, self.mark = Tokenizer.from_file(path), mark
+        self.known, self.older = {"": b""}, {}
         self.mark_id = self.tokenizer.token_to_id(mark)
+        # the same merges without the steps that change nothing in lower-case words of WORD's letters
+        self.words = Tokenizer.from_file(path)
+        self.words.normalizer, self.words.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.words.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for token, i in vocabulary.items() if token.endswith(word_end)]] = True
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # the vocabulary writes a byte as one character, most bytes of these letters as the same in Latin-1
+        self.written = {chr(x).encode().decode("latin-1"): level.pre_tokenize_str(chr(x))[0][0] for x in range(0xDF, 0x100) if x != 0xF7}
+        self.written = {a: b for a, b in self.written.items() if a != b}
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def learn(self, chunks: list[str]) -> None:
-        """Words of letters are encoded in one text and told apart by the
-        tokenizer's word numbers; a word and its stop are put together; all
-        other chunks are encoded with a mark between them."""
-        known, letters, ended, odd = self.known, [], [], []
+        """Words of letters are encoded many at a time and told apart by the
+        tokens that end a word; a word and the marks after it are put together;
+        all other chunks are encoded with a mark token between them."""
+        known, odd, whole, words, marks = self.known, [], [], [], []
         for c in chunks:
-            if c.isalpha():
-                letters.append(c)
-            elif c[-1] in ENDS and c[:-1].isalpha():
-                ended.append(c)
-                if c[:-1] not in known:
-                    letters.append(c[:-1])
+            if found := WORD.fullmatch(c):
+                word, after = found.groups()
+                whole.append(c)
+                words.append(word.lower())
+                marks.append(after)
             else:
                 odd.append(c)
-        letters = list(dict.fromkeys(letters))
-        for at in range(0, len(letters), 4096):
-            part = letters[at : at + 4096]
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, word = np.array(got.ids, dtype="<u4"), np.array(got.word_ids)
-            begins = np.flatnonzero(np.diff(word, prepend=-1))
-            if len(begins) == len(part):
-                raw, ends = ids.tobytes(), [*(4 * begins[1:]).tolist(), 4 * len(ids)]
-                known.update(zip(part, (raw[x:y] for x, y in zip((4 * begins).tolist(), ends))))
+        for after in set(marks).difference(known):
+            known[after] = self._encode(after).tobytes()
+        new = list(set(words).difference(known))
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            text = " ".join(part).encode().decode("latin-1")
+            for a, b in self.written.items():
+                text = text.replace(a, b)
+            ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (4 * (np.flatnonzero(self.is_end[ids]) + 1)).tolist()
+            if len(ends) == len(part):
+                raw = ids.tobytes()
+                known.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends))))
             else:
-                odd += part
-        for c in ENDS:
-            if c not in known:
-                known[c] = self._encode(c).tobytes()
+                known.update((w, self._encode(w).tobytes()) for w in part)
+        for c, word, after in zip(whole, words, marks):
+            known[c] = known[word] + known[after]
         plain = [c for c in odd if "<|" not in c]
         for at in range(0, len(plain), 4096):
             part = plain[at : at + 4096]
@@ -96,8 +111,6 @@ class ChunkEncoder:
         for c in odd:
             if "<|" in c:
                 known[c] = self._encode(c).tobytes()
-        for c in ended:
-            known[c] = known[c[:-1]] + known[c[-1]]
 
     def __call__(self, text: str) -> bytes:
         return next(self.each([text]))
@@ -112,13 +125,18 @@ class ChunkEncoder:
                 end += 1
             split = [t.replace("\n", " ").split(" ") for t in texts[at:end]]
             there = set().union(*split)
-            if new := there.difference(self.known):
-                if len(self.known) + len(new) > CACHE:
-                    self.known = {"": b""}
-                    new = there - {""}
+            if len(self.known) > CACHE:
+                self.known, self.older = {"": b""}, self.known
+            new = there.difference(self.known)
+            if self.older:
+                kept = {c: self.older[c] for c in new if c in self.older}
+                self.known.update(kept)
+                new.difference_update(kept)
+            if new:
                 self.learn(list(new))
+            ids = {c: self.known[c] for c in there}
             for chunks in split:
-                yield b"".join(map(self.known.__getitem__, chunks))
+                yield b"".join(map(ids.__getitem__, chunks))
             at = end
 
 
