@@ -285,3 +285,29 @@ def test_reputation_blocks_bad_hosts(spark):
     outcomes = spark.createDataFrame([(i, i % 2) for i in range(600)], "key long, bad int")
     got = op9_urls.judge(pages, outcomes, [], F.col("page_id")).collect()
     assert all((r.verdict == "block") == r.host.startswith("bad") for r in got)
+
+
+def test_chunk_encoder_equals_tokenizer():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(op5_packing.tokenizer_path())
+    latin = "".join(map(chr, range(0xC0, 0x100)))
+    texts = ["", "a'", "it's", "don't!?", "\u00c9t\u00e9,", latin, latin.lower(), "\u00b5m", "e\u0301a", "x<|startoftext|>y", "<|endoftext|>!", "\u0130i", "\u017f s", "a\tb\r\nc", "12ab", "ab12", "na\u00efve...'s", "a`b", " a  b ", "''s", "w\u00f8rd " * 3000]
+    rng = random.Random(7)
+    texts += ["".join(rng.choice("abcdefgh\u00e9\u00fc\u00df\u00e0 .,!'&AZ\n7") for _ in range(rng.randrange(400))) for _ in range(200)]
+    encode = op5_packing.ChunkEncoder(op5_packing.tokenizer_path())
+    for _ in range(2):  # new chunks, then known ones
+        for text, got in zip(texts, encode.each(texts)):
+            assert got == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+def test_chunk_encoder_forgets_by_age(monkeypatch):
+    monkeypatch.setattr(op5_packing, "CACHE", 50)
+    monkeypatch.setattr(op5_packing, "TOGETHER", 200)
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("aeiou") * rng.randrange(1, 20) + rng.choice(["", ".", "&&", "3"]) for _ in range(30)) for _ in range(100)]
+    whole, small = (op5_packing.ChunkEncoder(op5_packing.tokenizer_path()) for _ in range(2))
+    monkeypatch.setattr(op5_packing, "CACHE", 10**6)
+    want = list(whole.each(texts))
+    monkeypatch.setattr(op5_packing, "CACHE", 50)
+    assert list(small.each(texts)) == want
