@@ -18,9 +18,12 @@ bring their texts to the bucket, where such pairs are compared exactly unless
 links found there have made them one class already.  Only those links leave, so
 fewer than the bucket has members.  Buckets with too many such comparisons fall
 into finer ones (two bands together, then three) in which the round begins
-again.  So no link between classes is given up, and no group is expanded into
-rows for its pairs.  Buckets whose texts are too long to be held together send
-their likely pairs to the texts instead.
+again; that only makes classes fewer.  In the end all members of the large
+buckets that still hold several classes are dealt into blocks, and every two
+blocks of a bucket are compared as a bucket of their own.  So no link between
+classes is given up, and no group is expanded into rows for its pairs.  Buckets
+whose texts are too long to be held together send their likely pairs to the
+texts instead.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from .op1_langid import letters
 
 SHINGLE, SIMILARITY = 5, 0.8
 COORDINATES, ROWS = 80, 4
-#: Members of a bucket, and comparisons between its classes, beyond which it is made finer.
+#: Members of a bucket, and comparisons between its classes, beyond which it is made finer, then compared in blocks.
 MEMBERS, COMPARED = 65_536, 8_000_000
 #: Characters of a bucket's texts that a task holds together.
 HELD = 16_000_000
@@ -372,6 +375,7 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, compared: int = COM
     nodes = written(signed.groupBy("key").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).where("size(bands) > 0"), "nodes")
     edges: DataFrame | None = None
     labels: DataFrame | None = None
+    whole: DataFrame | None = None  # the large buckets of one band, all members
     rows = nodes.select("key", F.explode("bands").alias("bucket"))
     for depth in range(3):
         # members of buckets of two or more, with the least member
@@ -392,32 +396,58 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, compared: int = COM
         mixed = counted.where("classes > 1").select("bucket", ((F.col("n") > MEMBERS) | ((F.col("n") * F.col("n") - F.col("same")) / 2 > compared)).alias("large"))
         open_ = written(classed.join(mixed, "bucket").select("bucket", "key", "label", "large"), "open")
         forget(held)
-        now = open_ if depth == 2 else open_.where("not large")
-        near = written(across(now.join(nodes.select("key", "sketch"), "key"), least), "near")
-        if not near.isEmpty():
-            # equal sets of members are compared once
-            sets = near.join(texts.select("key", "chars"), "key").groupBy("bucket").agg(F.bit_xor(F.xxhash64("key")).alias("set"), F.count("*").alias("n"), F.sum("chars").alias("chars"))
-            sets = written(sets.groupBy("set", "n", "chars").agg(F.min("bucket").alias("bucket")), "sets")
-            light = near.join(sets.where(F.col("chars") <= HELD).select("bucket"), "bucket", "left_semi")
-            edges, labels = _with(joined(light.join(texts, "key"), least), edges, labels)
-            long = sets.where(F.col("chars") > HELD)
-            if not long.isEmpty():
-                rest = near.drop("label").join(long.select("bucket"), "bucket", "left_semi")
-                edges, labels = _with(linked(across_pairs(_of(rest, labels), least), texts, least), edges, labels)
-            forget(sets)
-        forget(near)
+        edges, labels = _settled(open_.where("not large"), nodes, texts, edges, labels, least)
         large = open_.where("large").select("key", "bucket")
+        if not depth and not large.isEmpty():
+            whole = written(large, "large")
         if depth == 2 or large.isEmpty():
             forget(open_)
             break
         # finer buckets: with each other band of the document
         rows = written(large.join(nodes, "key").select("key", F.explode(F.transform(F.filter("bands", lambda x: x != F.col("bucket")), lambda x: F.xxhash64(F.least(x, F.col("bucket")), F.greatest(x, F.col("bucket"))))).alias("bucket")).distinct(), "finer")
         forget(open_)
+    if whole is not None:
+        blocks = written(_blocks(_of(whole, labels), compared), "blocks")
+        edges, labels = _settled(blocks, nodes, texts, edges, labels, least)
+        forget(blocks)
+        forget(whole)
     named = _of(signed.select("doc_id", "key"), labels)
     ids = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     return named.join(ids, "label").select("doc_id", "key", "class_id")
 
 
+def _blocks(classed: DataFrame, compared: int) -> DataFrame:
+    """bucket, key, label: every two blocks of each bucket of classed(bucket, key, label) as one.
+
+    Buckets of one class are left out; the others have two blocks at least, each
+    small enough that two of them have about `compared` pairs.
+    """
+    size = max(1, math.isqrt(compared // 2))
+    many = classed.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("classes"))
+    many = many.where("classes > 1").select("bucket", F.greatest(F.lit(2), F.ceil(F.col("n") / size)).cast("int").alias("blocks"))
+    dealt = classed.join(many, "bucket").withColumn("mine", F.pmod(F.xxhash64("key", "bucket"), "blocks").cast("int"))
+    each = dealt.select("bucket", "key", "label", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("mine != other")
+    return each.select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), "key", "label")
+
+
+def _settled(now: DataFrame, nodes: DataFrame, texts: DataFrame, edges: DataFrame | None, labels: DataFrame | None, least: float):
+    """The edges and labels after the members of each bucket of now(bucket, key, label) are compared."""
+    near = written(across(now.join(nodes.select("key", "sketch"), "key"), least), "near")
+    if not near.isEmpty():
+        # equal sets of members are compared once
+        sets = near.join(texts.select("key", "chars"), "key").groupBy("bucket").agg(F.bit_xor(F.xxhash64("key")).alias("set"), F.count("*").alias("n"), F.sum("chars").alias("chars"))
+        sets = written(sets.groupBy("set", "n", "chars").agg(F.min("bucket").alias("bucket")), "sets")
+        light = near.join(sets.where(F.col("chars") <= HELD).select("bucket"), "bucket", "left_semi")
+        edges, labels = _with(joined(light.join(texts, "key"), least), edges, labels)
+        long = sets.where(F.col("chars") > HELD)
+        if not long.isEmpty():
+            rest = near.drop("label").join(long.select("bucket"), "bucket", "left_semi")
+            edges, labels = _with(linked(across_pairs(_of(rest, labels), least), texts, least), edges, labels)
+        forget(sets)
+    forget(near)
+    return edges, labels
+
+
 def _with(links: DataFrame, edges: DataFrame | None, labels: DataFrame | None):
     """The edges and labels with more links."""
     found = written(links, "edges")

@@ -1,4 +1,5 @@
 import hashlib
+import hashlib
 import html
 import math
 import random
@@ -223,6 +224,23 @@ def test_near_classes_against_brute_force(spark, compared):
     assert [got[i] for i in range(len(texts))] == near_by_brute_force(texts)
 
 
+def test_large_bucket_keeps_links_of_one_band(spark):
+    rng = random.Random(10695)
+    a = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    b, c = list(a), list(a)
+    b[40:46] = [f"n{i}" for i in range(6)]
+    rng = random.Random(133)
+    for at in [rng.randrange(94) for _ in range(3)]:
+        c[at : at + 6] = [f"c133.{i}" for i in range(6)]
+    texts = [" ".join(x) for x in (a, b, c)]
+    bands = [set(op6_dedup.signature(t)[0]) for t in texts]
+    # the like texts share one band only, whose bucket's head is unlike both
+    assert len(bands[0] & bands[1]) == 1 and bands[0] & bands[1] <= bands[2] and near_by_brute_force(texts) == [0, 0, 2]
+    assert min(texts, key=lambda t: hashlib.md5(t.encode()).digest()) == texts[2]
+    got = {r.doc_id: r.class_id for r in op6_dedup.near_classes(documents(spark, texts), compared=1).collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
+
+
 def test_darts_estimate_weighted_similarity():
     rng = np.random.default_rng(5)
     elements = rng.integers(1, 2**62, 400).astype(np.uint64)
