@@ -4,7 +4,7 @@ Base spans come from three patterns (assignments to sensitive words, access key
 ids, long hex runs).  The lexer reads source and configuration syntax as
 name-literal pairs (name = "literal", name: literal, "name": "literal",
 name := 'a' + 'b'), follows names that stand for constants, and scores each
-literal by the sensitive names it reaches and by how random it looks; literals
+literal, and each assignment's joined literals, by the sensitive names it reaches and by how random it looks; literals
 over the threshold that no base span covers are added as spans of kind lex.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -68,32 +69,84 @@ def literal_score(value: str) -> float:
     return min(1.0, entropy / 4) * (0.5 + 0.5 * min(1.0, len(value) / 16)) * (1.0 if kinds >= 2 else 0.6)
 
 
+def _nearest(at: list[int], i: int) -> int:
+    """Of the assignments of a name, the last before assignment i, else its first."""
+    return at[max(bisect_left(at, i) - 1, 0)]
+
+
 def lexed_spans(text: str) -> list[tuple[int, int]]:
-    """Spans of literals whose name, or a name they reach, is sensitive."""
+    """Spans of literals whose name, or a name they reach, is sensitive.
+
+    Every literal reached is scored by itself, and every assignment by its joined
+    value: its own literals and, in place of names, those of their assignments,
+    however many.  Of a name's several assignments the nearest before counts, and
+    each other one with a different right-hand side in its turn.  A name is taken
+    as often as a value holds it, only in values that would outgrow the text once.
+    """
     pairs: list[list[tuple[str, int, int]]] = []
     by_name: dict[str, list[int]] = {}
     for m in LEX.finditer(text):
         by_name.setdefault(m.group(2), []).append(len(pairs))
         pairs.append([(t.group(0), m.start(3) + t.start(), m.start(3) + t.end()) for t in _ONE.finditer(m.group(3))])
+    others: dict[str, list[int]] = {}  # one assignment for each right-hand side of a name
+
+    def different(name: str) -> list[int]:
+        if name not in others:
+            others[name] = list({tuple(t[0] for t in pairs[i]): i for i in by_name[name]}.values())
+        return others[name]
+
+    def value(i: int, instead: dict[str, int], once: bool = False) -> tuple[list[tuple[str, int, int]], dict[str, int]]:
+        """The literals of assignment i in the order of its value, and the assignment of each name in it."""
+        parts, names = [], {}
+        todo: list = [(i, iter(pairs[i]))]
+        done, steps = {i}, 0
+        while todo:
+            at, terms = todo[-1]
+            for term, start, end in terms:
+                if term[0] in "\"'`":
+                    parts.append((term[1:-1], start + 1, end - 1))
+                elif term in by_name:
+                    j = instead.get(term, _nearest(by_name[term], at))
+                    names.setdefault(term, j)
+                    if j not in done:  # no cycles
+                        done.add(j)
+                        todo.append((j, iter(pairs[j])))
+                        steps += 1
+                        break
+                else:
+                    parts.append((term, start, end))
+            else:
+                todo.pop()
+                if not once:
+                    done.discard(at)
+            if steps > 1000 + 4 * len(pairs):  # names that double names: a value longer than the text
+                return value(i, instead, True)
+        return parts, names
+
     found: set[tuple[int, int]] = set()
     for name, own in by_name.items():
         weight = name_weight(name)
         if weight <= 0:
             continue
-        todo, seen, parts = list(own), set(own), []
+        todo, seen = list(own), set(own)
         while todo:
             for term, start, end in pairs[todo.pop()]:
                 if term[0] in "\"'`":
-                    parts.append((term[1:-1], start + 1, end - 1))
+                    if weight * literal_score(term[1:-1]) >= THRESHOLD:
+                        found.add((start + 1, end - 1))
                 elif term in by_name:
                     todo += [i for i in by_name[term] if i not in seen]
                     seen.update(by_name[term])
-                else:
-                    parts.append((term, start, end))
-        joined = "".join(p[0] for p in sorted(parts, key=lambda p: p[1]))
-        for value, start, end in parts:
-            if weight * max(literal_score(value), literal_score(joined) if 1 < len(parts) <= 8 else 0.0) >= THRESHOLD:
-                found.add((start, end))
+                elif weight * literal_score(term) >= THRESHOLD:
+                    found.add((start, end))
+        for i in own:
+            if len(pairs[i]) == 1 and (pairs[i][0][0][0] in "\"'`" or pairs[i][0][0] not in by_name):
+                continue  # one literal, scored above
+            usual, names = value(i, {})
+            ways = [usual] + [value(i, {n: k})[0] for n, j in names.items() for k in different(n) if [t[0] for t in pairs[k]] != [t[0] for t in pairs[j]]]
+            for parts in ways:
+                if len(parts) > 1 and weight * literal_score("".join(p[0] for p in parts)) >= THRESHOLD:
+                    found.update((start, end) for _, start, end in parts)
     return sorted(found)
 
 

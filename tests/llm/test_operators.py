@@ -268,6 +268,19 @@ def test_secrets():
     assert op7_secrets.scan(None) == [] and op7_secrets.redact("nothing") == "nothing"
 
 
+def test_secret_in_parts():
+    line = 'client_secret = "ab1Z" + "9xQw" + "Kp2R"\n'
+    many = "client_secret = " + " + ".join(f'"{x}"' for x in ["aB1", "9xQ", "wK2", "Rt7"] * 3) + "\n"
+    apart = 'a = "ab1Z"\nb = a + "9xQw"\nsecret = b + "Kp2R"\na = "Yt4u"\n'
+    for text, want in ((line, ["ab1Z", "9xQw", "Kp2R"]), (line * 3, ["ab1Z", "9xQw", "Kp2R"] * 3), (many, ["aB1", "9xQ", "wK2", "Rt7"] * 3), (apart, ["ab1Z", "9xQw", "Kp2R", "Yt4u"])):
+        assert [text[s:e] for s, k, e, _ in op7_secrets.scan(text) if k == 3] == want
+    assert [(s, e) for s, k, e, _ in op7_secrets.scan('a = "x1YqZ"\nsecret = a + a\n') if k == 3] == [(5, 10)]
+    assert op7_secrets.scan("".join(f"a{i} = a{i + 1} + a{i + 1}\n" for i in range(60)) + 'pwd = a0 + "b"\n') == []
+    assert op7_secrets.scan('pwd = pwd + "a"\n') == [] and op7_secrets.scan('a = b\nb = a\npwd = a + b\n') == []
+    # values of different assignments are not one value
+    assert op7_secrets.scan('secret = "ab1Z"\nsecret = "9xQw"\n') == []
+
+
 def test_secret_digest(spark):
     r = op7_secrets.find_secrets(documents(spark, ["a token = abcdef1 b", None])).orderBy("doc_id").collect()
     assert r[0].base_sha256 == hashlib.sha256(b"assign:2:17").hexdigest() and r[0].spans == "assign:2:17" and r[0].n_assign == 1
