@@ -27,11 +27,12 @@ ACCESS = re.compile("AKIA[A-Z0-9]{16,}")
 HEX = re.compile("[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "lex")
 
-#: Stems that the lexer's quick test looks for.
-STEMS = ("pass", "pwd", "secret", "token", "key", "cred", "auth")
 #: Words of a target name and their weight; two-word names weigh together.
 WEIGHTS = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.6, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "bearer": 0.8}
 PAIRS = {("api", "key"): 1.0, ("access", "key"): 1.0, ("private", "key"): 1.0, ("secret", "key"): 1.0, ("client", "key"): 0.8, ("encryption", "key"): 0.9, ("signing", "key"): 0.9}
+_WORDS = set(WEIGHTS) | {second for _, second in PAIRS}
+#: Stems that the lexer's quick test looks for: every weighted name holds one.
+STEMS = tuple(sorted(w for w in _WORDS if not any(o != w and o in w for o in _WORDS)))
 PLACEHOLDER = re.compile(r"(?i)^(?:true|false|null|none|nil|undefined|changeme|example|dummy|placeholder|x+|\*+|\$\{.*|\{\{.*|<.*>|%\(.*|os\.|process\.env|getenv.*)$")
 THRESHOLD = 0.45
 

@@ -281,6 +281,12 @@ def test_secret_in_parts():
     assert op7_secrets.scan('secret = "ab1Z"\nsecret = "9xQw"\n') == []
 
 
+def test_secret_quick_test_knows_every_weighted_name():
+    for name in [*op7_secrets.WEIGHTS, *map("_".join, op7_secrets.PAIRS)]:
+        assert any(s in name for s in op7_secrets.STEMS), name
+    assert [x[:3] for x in op7_secrets.scan('bearer = "Zx81kQp0LmT4vRb7"')] == [(10, 3, 26)]
+
+
 def test_secret_digest(spark):
     r = op7_secrets.find_secrets(documents(spark, ["a token = abcdef1 b", None])).orderBy("doc_id").collect()
     assert r[0].base_sha256 == hashlib.sha256(b"assign:2:17").hexdigest() and r[0].spans == "assign:2:17" and r[0].n_assign == 1
