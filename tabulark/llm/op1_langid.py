@@ -75,13 +75,12 @@ class Model:
 def sampled(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list:
     """(lang, packed n-gram flags) of a sample spread by hash over each language."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(500).collect()}
-    if not counts:
+    counted = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = counted.count()
+    if not languages:
         return []
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, per_language / n)).otherwise(share)
-    some = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003 < share).select("lang", "text")
+    share = counted.select("lang", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n")).alias("share"))
+    some = labelled.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003 < F.col("share")).select("lang", "text")
 
     def each(got, _):
         out = {"lang": [], "bits": []}
@@ -92,7 +91,7 @@ def sampled(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list:
                 out["bits"].append(np.packbits(flags).tobytes())
         return out
 
-    return by_batch(some, each, "lang string, bits binary").limit(2 * per_language * len(counts)).collect()
+    return by_batch(some, each, "lang string, bits binary").limit(2 * per_language * languages).collect()
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:

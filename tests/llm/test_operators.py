@@ -224,6 +224,11 @@ def test_near_classes_against_brute_force(spark, compared):
     assert [got[i] for i in range(len(texts))] == near_by_brute_force(texts)
 
 
+def test_rare_languages_are_sampled(spark):
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"), F.format_string("l%03d", "id").alias("lang"))
+    assert len({r.lang for r in op1_langid.sampled(docs)}) == 600
+
+
 def test_large_bucket_keeps_links_of_one_band(spark):
     rng = random.Random(10695)
     a = [f"w{rng.randrange(10**6)}" for _ in range(100)]
