@@ -29,20 +29,24 @@ from .common import by_batch, written
 
 CAPACITY, END_ID = 4096, 1
 #: Large lengths are over capacity / SMALL; groups of them; rows of a ranking window.
-SMALL, GROUPS, ROWS = 8, 24, 2000
-#: Chunks of text whose ids a worker keeps from task to task (twice as many, half of them older); characters of texts whose new
-#: chunks are learned together.
-CACHE, TOGETHER = 500_000, 300_000
-#: A chunk that is one word of letters and the ASCII marks after it. Each of these letters is its own NFC form and has one lower case.
-WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
+SMALL, GROUPS, ROWS = 8, 24, 500
+#: Words whose ids a worker keeps from task to task (twice as many, half of them older); characters of texts whose new
+#: words are learned together.
+CACHE, TOGETHER = 500_000, 1_000_000
+#: Letters that are their own NFC form and have one lower case; what else than they, ASCII, spaces and line ends is odd.
+LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
+ODD = re.compile(f"[^ \\n!-~{LETTERS}]|<\\|")
+#: What the tokenizer cuts plain text in lower case into (fixed by its vocabulary file): endings, words, digits, marks.
+UNIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^ \\n{LETTERS}0-9]+")
 
 
 class ChunkEncoder:
-    """Ids of texts, as little-endian 32-bit words, chunk by chunk.
+    """Ids of texts, as little-endian 32-bit words, unit by unit.
 
-    The tokenizer drops white space and joins nothing across it, so a text's ids
-    are those of its chunks between spaces and line ends; known chunks are
-    looked up, new ones are encoded together.
+    The tokenizer lowers the case, cuts a text into units and joins nothing
+    across them.  Units of plain text are found by one pattern and looked up; a
+    stretch between spaces that holds anything else is a unit of its own, which
+    goes through the whole tokenizer.  New units of many texts are learned together.
     """
 
     def __init__(self, path: str, mark: str = "<|startoftext|>", word_end: str = "</w>"):
@@ -66,22 +70,31 @@ class ChunkEncoder:
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def learn(self, chunks: list[str]) -> None:
-        """Words of letters are encoded many at a time and told apart by the
-        tokens that end a word; a word and the marks after it are put together;
-        all other chunks are encoded with a mark token between them."""
-        known, odd, whole, words, marks = self.known, [], [], [], []
-        for c in chunks:
-            if found := WORD.fullmatch(c):
-                word, after = found.groups()
-                whole.append(c)
-                words.append(word.lower())
-                marks.append(after)
+    def odd_units(self, text: str) -> list[str]:
+        """The units of any text; a stretch with odd characters is one, after a space."""
+        out = []
+        for chunk in text.replace("\n", " ").split(" "):
+            if ODD.search(chunk.lower()):
+                out.append(" " + chunk)
             else:
-                odd.append(c)
-        for after in set(marks).difference(known):
-            known[after] = self._encode(after).tobytes()
-        new = list(set(words).difference(known))
+                out += UNIT.findall(chunk.lower())
+        return out
+
+    def _found(self, split: list[list[str]]) -> tuple[dict[str, bytes], set[str]]:
+        """All units with their ids, and those not known; older ones become known again."""
+        there = list(set().union(*split))
+        ids = dict(zip(there, map(self.known.get, there)))
+        new = {u for u, found in ids.items() if found is None}
+        kept = {u: self.older[u] for u in new.intersection(self.older)}
+        self.known.update(kept)
+        ids.update(kept)
+        return ids, new.difference(kept)
+
+    def learn(self, units: set[str]) -> None:
+        """Words of letters are encoded many at a time and told apart by the
+        tokens that end a word; all other units with a mark token between them."""
+        known = self.known
+        new = list(filter(str.isalpha, units))
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             text = " ".join(part).encode().decode("latin-1")
@@ -94,49 +107,42 @@ class ChunkEncoder:
                 known.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends))))
             else:
                 known.update((w, self._encode(w).tobytes()) for w in part)
-        for c, word, after in zip(whole, words, marks):
-            known[c] = known[word] + known[after]
-        plain = [c for c in odd if "<|" not in c]
+        rest = units.difference(new)
+        plain = [u for u in rest if "<|" not in u]
         for at in range(0, len(plain), 4096):
             part = plain[at : at + 4096]
             ids = self._encode(f" {self.mark} ".join(part))
             ends = [*np.flatnonzero(ids == self.mark_id), len(ids)]
-            start = 0
-            for i, c in enumerate(part):
-                if len(ends) == len(part):
-                    known[c] = ids[start : ends[i]].tobytes()
-                    start = ends[i] + 1
-                else:
-                    known[c] = self._encode(c).tobytes()
-        for c in odd:
-            if "<|" in c:
-                known[c] = self._encode(c).tobytes()
+            if len(ends) == len(part):
+                for u, start, end in zip(part, [-1, *ends], ends):
+                    known[u] = ids[start + 1 : end].tobytes()
+            else:
+                known.update((u, self._encode(u).tobytes()) for u in part)
+        known.update((u, self._encode(u).tobytes()) for u in rest.difference(plain))
 
     def __call__(self, text: str) -> bytes:
         return next(self.each([text]))
 
     def each(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text; new chunks of many texts are learned in one go."""
+        """The ids of each text; new units of many texts are learned in one go."""
         at = 0
         while at < len(texts):
             end, size = at, 0
             while end < len(texts) and (end == at or size + len(texts[end]) <= TOGETHER):
                 size += len(texts[end])
                 end += 1
-            split = [t.replace("\n", " ").split(" ") for t in texts[at:end]]
-            there = set().union(*split)
             if len(self.known) > CACHE:
                 self.known, self.older = {"": b""}, self.known
-            new = there.difference(self.known)
-            if self.older:
-                kept = {c: self.older[c] for c in new if c in self.older}
-                self.known.update(kept)
-                new.difference_update(kept)
+            split = [UNIT.findall(t.lower()) for t in texts[at:end]]
+            ids, new = self._found(split)
+            if ODD.search(" ".join(new)):
+                split = [self.odd_units(t) for t in texts[at:end]]
+                ids, new = self._found(split)
             if new:
-                self.learn(list(new))
-            ids = {c: self.known[c] for c in there}
-            for chunks in split:
-                yield b"".join(map(ids.__getitem__, chunks))
+                self.learn(new)
+                ids.update((u, self.known[u]) for u in new)
+            for units in split:
+                yield b"".join(map(ids.__getitem__, units))
             at = end
 
 
