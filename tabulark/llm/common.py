@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,11 +16,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    Only where the session has none (tests on one machine) a temporary folder
-    is used instead.
+    Only where the session has none and runs on one machine (tests) a temporary
+    folder is used instead; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or "file://" + os.path.join(tempfile.gettempdir(), "tabulark-shared")
+    if found:
+        return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "tabulark-shared")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
