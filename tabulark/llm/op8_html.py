@@ -1,285 +1,500 @@
 """Main text of pages by union-free wrappers of their hosts.
 
-Pages are token streams: tags (with class, id and role) and texts.  A page's own
-stream is folded first: a run of the same tokens twice or more is a repeated
-group.  The folded streams of a host's sample pages are then aligned one after
-the other; texts that differ become slots, stretches that only some pages have
-become optional groups, and groups that occur once or often become repeated.
-The result is a union-free regular expression, the host's wrapper.  Its regions
-are the containers around its slots: one that is a menu, header, footer,
-sidebar, notice, advert, form or comment section by tag or name is left out, and
-the article is the container that says so or else the one whose slots hold the
-most text that changes from page to page.  Every page of the host is then read
-with the wrapper's article and its left-out regions.
+A page is a stream of tags and texts, nested by its blocks.  Among the children
+of a block, stretches that occur two or more times in a row become a repeated
+group.  The streams of a host's pages are then aligned one after the other, from
+the root down: what only some pages have becomes optional, what one of them
+repeats becomes repeated, and texts that differ become slots, while texts that
+all pages share stay constants of the template.  The result is a union-free
+regular expression over tags and slots, the host's wrapper; each of its parts
+counts the pages, characters, links and linked characters that it covered.
+
+A page is read by aligning it with its host's wrapper.  Its article is found
+from the root down: the block whose slots hold nearly all text that is not
+linked, as long as no heading or paragraph slot stands beside it (a block that
+is tagged as the article goes first).  The text is that of the slots in there,
+without constants, without parts that are links nearly throughout, and without
+parts tagged or named as menus, notices, comments and the like.
+
+Wrappers are made of all pages, by partial aggregation: every task aligns the
+pages of each host that it reads, and wrappers are aligned in the same way.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
-from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch
+from .common import by_batch, written
 from .op9_urls import parse
 
-#: Pages of a host from which its wrapper is inferred, tokens of a page that are aligned, longest repeated group.
-SAMPLE, ALIGNED, PERIOD = 12, 1500, 24
+#: Pages from which on a text that all share is a constant; share of links that makes a menu, and links of one at least;
+#: share of the article's text from which on a block beside it belongs to it.
+SHARED, LINKED, LINKS, BESIDE = 5, 0.7, 3, 0.1
+#: Levels of blocks that are told apart; deeper blocks only end texts. Parts of a wrapper: beyond, its rarest optional ones go, and
+#: pages are read there by their own.
+DEPTH, PARTS = 60, 4000
+#: Hosts that a task aligns at a time; bytes of all wrappers that are broadcast at most; parts of a host's pages in the join beyond.
+HOSTS, BROADCAST, SALTS = 2000, 32_000_000, 32
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "svg", "math", "iframe", "select", "option")}
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+")
+_DIGITS = re.compile(r"\d+")
 
-#: Tags and names (fixed values).
+#: Tags and words of names (fixed values).
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br".split())
-LEFT_OUT = set("nav footer aside form script style head noscript template button select option textarea iframe svg math dialog menu object title".split())
-LEFT_OUT_NAMES = set("nav navbar navigation menu footer sidebar aside ad ads advert advertisement adverts banner sponsor sponsored promo cookie cookies consent notice notices alert popup modal newsletter subscribe signup login comment comments disqus reply replies respond breadcrumb breadcrumbs pagination pager share sharing social related recommended widget toolbar masthead copyright search".split())
-ARTICLE_NAMES = set("article main".split())
-
-
-def tokens(page: str) -> list[tuple[str, str, str]]:
+CELLS = {"td", "th"}
+ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}}
+WALLS = {"article", "main", "body", "html"}
+BLOCKS = set("html body div section main article center td".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+LEFT_OUT = set("head nav footer aside form button menu dialog object".split())
+LEFT_OUT_WORDS = set("nav navbar navigation menu footer sidebar aside ad ads advert advertisement adverts banner sponsor sponsored promo cookie cookies consent notice notices alert popup modal newsletter subscribe signup login breadcrumb breadcrumbs pagination pager share sharing social related recommended widget toolbar masthead copyright search".split())
+COMMENT_WORDS = set("comment comments disqus reply replies respond".split())
+LAYOUT_WORDS = set("area bar block body box bottom col column container content footer global group header holder inner item items left link links list main outer page panel primary region right row secondary section site slot top unit wrap wrapper".split())
+ARTICLE = {"article", "main"}
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, tag or text, names): open, close, void or text; raw elements are passed over."""
-    out, at = [], 0
+    at = 0
     while True:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
         if text:
-            out.append(("text", text, ""))
+            yield "text", text, ""
         if not m:
-            return out
+            return
         at = m.end()
         tag = (m.group(2) or m.group(5) or "").lower()
         if not tag:
             continue
         if m.group(1) or m.group(4):
-            out.append(("close", tag, ""))
+            yield "close", tag, ""
             continue
         attrs = m.group(3) if m.group(2) else m.group(6)
         if tag in _RAW and not (attrs or "").endswith("/"):
             end = _RAW[tag].search(page, at)
             at = end.end() if end else len(page)
             continue
-        names = " ".join(sorted(v.strip("\"'").lower() for _, v in _ATTR.findall(attrs or ""))) if attrs else ""
-        out.append(("void" if tag in VOID else "open", tag, names))
+        names = ""
+        if attrs:
+            got = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(attrs)}
+            names = " ".join(x for x in (got.get("class") or got.get("id", ""), got.get("role", "")) if x)
+        yield ("void" if tag in VOID else "open"), tag, names
+
+
+class Part:
+    """A part of a wrapper: a block, a slot ("#") or a group ("()") with its
+    children, whether it repeats or is optional, and what it covered: pages,
+    times, characters, linked ones, links; of a slot (and, as a digest, of a
+    page) the text if there was only one; leaves are places in the page's texts (in the wrapper of one page)."""
+
+    __slots__ = ("key", "repeats", "optional", "pages", "times", "chars", "linked", "links", "text", "kids", "leaves", "tag", "left_out", "mass")
+
+    def __init__(self, key, repeats=False, optional=False, pages=1, times=1, chars=0, linked=0, links=0, text=None, kids=(), leaves=()):
+        self.key, self.repeats, self.optional, self.pages, self.times, self.chars, self.linked, self.links, self.text = key, repeats, optional, pages, times, chars, linked, links, text
+        self.kids, self.leaves = list(kids), list(leaves)
+        self.tag = key.split(".", 1)[0]
+        self.left_out, self.mass = False, 0.0
+
+    def listed(self) -> list:
+        return [self.key, self.repeats, self.optional, self.pages, self.times, self.chars, self.linked, self.links, self.text, [k.listed() for k in self.kids]]
+
+    @staticmethod
+    def of(listed: list) -> Part:
+        return Part(*listed[:9], kids=[Part.of(k) for k in listed[9]])
+
+    def count(self) -> int:
+        return 1 + sum(k.count() for k in self.kids)
+
+    def expression(self) -> str:
+        """The part as a union-free regular expression over tags and slots."""
+        inner = "".join(k.expression() for k in self.kids)
+        whole = "#" if self.key == "#" else inner if self.key == "()" else f"<{self.key}>{inner}</{self.tag}>"
+        mark = ("*" if self.optional else "+") if self.repeats else "?" if self.optional else ""
+        return f"({whole}){mark}" if mark else whole
+
+
+def _alike(a: Part, b: Part) -> bool:
+    """Whether two parts may be one: blocks that only their tag names must have children in common."""
+    if a.key != b.key:
+        return False
+    if a.tag not in BLOCKS or "." in a.key or a.tag in WALLS or not a.kids or not b.kids:
+        return True
+    x, y = _shape(a), _shape(b)
+    return 2 * len(x & y) >= min(len(x), len(y))
 
 
-def _left_out(tag: str, names: str, inside: bool) -> bool:
-    if tag in LEFT_OUT or (tag == "header" and not inside):
-        return True
-    return bool(names) and tag not in ("body", "html", "article", "main") and not LEFT_OUT_NAMES.isdisjoint(_NAME.findall(names))
+def _shape(a: Part) -> set[str]:
+    out = set()
+    for k in a.kids:
+        out |= _shape(k) if k.key == "()" else {k.key}
+    return out
+
+
+def _join(a: Part, b: Part, same_page: bool = False) -> Part:
+    """a, widened by b."""
+    a.pages = max(a.pages, b.pages) if same_page else a.pages + b.pages
+    a.times, a.chars, a.linked, a.links = a.times + b.times, a.chars + b.chars, a.linked + b.linked, a.links + b.links
+    a.repeats, a.optional = a.repeats or b.repeats, a.optional or b.optional
+    if a.text != b.text:
+        a.text = None
+    a.leaves += b.leaves
+    if a.kids or b.kids:
+        a.kids = _joined(a.kids, b.kids, same_page)
+    return a
+
+
+def _pairs(a: list[Part], b: list[Part]) -> list[tuple[Part | None, Part | None]]:
+    """The two lists aligned, in order."""
+    if len(a) == len(b) and all(map(_alike, a, b)):
+        return list(zip(a, b))
+    out: list[tuple[Part | None, Part | None]] = []
+    for op, i, j, k, m in SequenceMatcher(None, [_sign(x) for x in a], [_sign(x) for x in b], autojunk=False).get_opcodes():
+        if op == "equal":
+            out += zip(a[i:j], b[k:m])
+            continue
+        at = k
+        for x in a[i:j]:  # in what is left, the next one that may be the same
+            found = next((n for n in range(at, m) if _alike(x, b[n])), None)
+            if found is None:
+                out.append((x, None))
+                continue
+            out += [(None, y) for y in b[at:found]]
+            out.append((x, b[found]))
+            at = found + 1
+        out += [(None, y) for y in b[at:m]]
+    return out
+
+
+def _sign(a: Part) -> str:
+    return a.key + " " + " ".join(sorted(_shape(a)))
 
 
-def _is_article(tag: str, names: str) -> bool:
-    return tag in ARTICLE_NAMES or (bool(names) and tag not in ("html", "body") and bool({"article", "main"} & set(names.split())))
+def _joined(a: list[Part], b: list[Part], same_page: bool) -> list[Part]:
+    out = []
+    for x, y in _pairs(a, b):
+        if x is None or y is None:
+            one = x or y
+            one.optional = True
+            out.append(one)
+        else:
+            out.append(_join(x, y, same_page))
+    return out
 
 
-def folded(stream: list[str]) -> list:
-    """The stream with runs of two or more equal stretches as ("+", stretch)."""
-    out: list = []
-    for x in stream:
+def _folded(parts: list[Part]) -> list[Part]:
+    """parts with stretches that follow each other two or more times as one repeated part."""
+    out: list[Part] = []
+    for x in parts:
         out.append(x)
-        again = True
-        while again:
-            again = False
-            for n in range(1, min(PERIOD, len(out)) + 1):
-                tail = out[-n:]
-                if len(out) > n and out[-n - 1] == ("+", tuple(tail)):
-                    del out[-n:]
-                    again = True
-                    break
-                if n > 1 and len(out) >= 2 * n and out[-2 * n : -n] == tail:
-                    out[-2 * n :] = [("+", tuple(tail))]
-                    again = True
-                    break
+        while _shortened(out):
+            pass
     return out
 
 
-def aligned(wrapper: list, stream: list) -> list:
-    """The wrapper, widened so that it also covers the stream."""
-    flat = [x[1] if isinstance(x, tuple) and x[0] == "?" else x for x in wrapper]
-    out: list = []
-    for op, a, b, c, d in SequenceMatcher(None, [repr(x) for x in flat], [repr(x) for x in stream], autojunk=False).get_opcodes():
-        if op == "equal":
-            out += wrapper[a:b]
-            continue
-        theirs = stream[c:d]
-        for x in wrapper[a:b]:
-            # a repeated group that occurs once there
-            if isinstance(x, tuple) and x[0] == "+" and tuple(theirs[: len(x[1])]) == x[1]:
-                out.append(x)
-                theirs = theirs[len(x[1]) :]
+def _shortened(out: list[Part]) -> bool:
+    n = len(out)
+    if n < 2:
+        return False
+    if _alike(out[-2], out[-1]) and out[-1].key != "()":
+        last = out.pop()
+        _join(out[-1], last, True).repeats = True
+        return True
+    for at in range(n - 2, -1, -1):
+        here, size = out[at], n - 1 - at
+        if here.key == "()" and len(here.kids) == size and all(map(_alike, here.kids, out[at + 1 :])):
+            again = Part("()", kids=out[at + 1 :])
+            del out[at + 1 :]
+            _join(here, again, True)
+            return True
+        if size > 1 and 2 * size <= n and here.key == out[-1].key and all(_alike(out[i - size], out[i]) for i in range(n - 1, n - 1 - size, -1)):
+            first, again = Part("()", kids=out[n - 2 * size : n - size]), Part("()", kids=out[n - size :])
+            del out[n - 2 * size :]
+            _join(first, again, True).repeats = True
+            out.append(first)
+            return True
+    return False
+
+
+def wrapped(page: str) -> tuple[Part, list[str]]:
+    """The wrapper of one page, and its texts in order."""
+    texts: list[str] = []
+    root = Part("page")
+    stack = [root]
+    raw: list[str] = []
+    state = {"a": 0, "linked": 0, "links": 0, "deep": 0}
+
+    def end_text():
+        if raw:
+            text = _SPACE.sub(" ", entities.unescape("".join(raw))).strip()
+            if text:
+                shown = text if len(text) <= 200 else "\0" + hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
+                stack[-1].kids.append(Part("#", chars=len(text), linked=min(state["linked"], len(text)), links=state["links"], text=shown, leaves=[len(texts)]))
+                texts.append(text)
+            raw.clear()
+        state["linked"] = state["links"] = 0
+
+    def close(n: int):
+        for part in stack[n:]:
+            part.kids = _folded(part.kids)
+        del stack[n:]
+
+    for kind, what, names in tokens(page):
+        if kind == "text":
+            raw.append(what)
+            if state["a"]:
+                state["linked"] += len(what.strip())
+        elif what in INLINE:
+            if what == "br":
+                raw.append(" ")
+            elif what == "a":
+                state["a"] = int(kind == "open")
+                state["links"] += state["a"]
+        elif what in CELLS:
+            raw.append(" ")
+        elif kind == "void":
+            if what == "hr":
+                end_text()
+        elif kind == "open":
+            end_text()
+            state["a"] = 0
+            if stack[-1].tag == "p" or stack[-1].tag in ENDS.get(what, ()):
+                close(len(stack) - 1)
+                if stack[-1].tag in ENDS.get(what, ()):  # a paragraph in an item
+                    close(len(stack) - 1)
+            if len(stack) <= DEPTH:
+                part = Part(f"{what}.{_DIGITS.sub('0', '.'.join(names.split()))}" if names else what)
+                stack[-1].kids.append(part)
+                stack.append(part)
             else:
-                out.append(x if isinstance(x, tuple) and x[0] == "?" else ("?", x))
-        out += [("?", x) for x in theirs]
-    return out
+                state["deep"] += 1
+        else:
+            end_text()
+            state["a"] = 0
+            if state["deep"]:
+                state["deep"] -= 1
+                continue
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag == what:
+                    close(i)
+                    break
+                if stack[i].tag in WALLS and what not in WALLS:
+                    break
+    end_text()
+    close(0)
+    root.text = hashlib.md5("\n".join(texts).encode("utf-8", "surrogatepass")).hexdigest()
+    return root, texts
+
 
+def bounded(wrapper: Part) -> Part:
+    """The wrapper without its rarest optional parts if it has more than PARTS."""
+    least = 2
+    while wrapper.count() > PARTS and least <= wrapper.pages:
+        todo = [wrapper]
+        while todo:
+            part = todo.pop()
+            part.kids = [k for k in part.kids if not (k.optional and k.pages < least)]
+            todo += part.kids
+        least *= 2
+    return wrapper
 
-def written_out(wrapper) -> str:
-    """The wrapper as a regular expression over tokens."""
-    if isinstance(wrapper, str):
-        return wrapper
-    if isinstance(wrapper, list):
-        return "".join(map(written_out, wrapper))
-    return "(" + written_out(list(wrapper[1]) if wrapper[0] == "+" else wrapper[1]) + ")" + wrapper[0]
 
+def aligned(a: Part | None, b: Part) -> Part:
+    """One wrapper for the pages of both."""
+    return b if a is None else bounded(_join(a, b))
 
-def infer(pages: list[str]) -> dict:
-    """The wrapper of pages of one host, the article's container and regions left out."""
-    streams, texts = [], []
+
+def infer(pages: list[str]) -> Part:
+    """The wrapper of pages."""
+    out = None
     for page in pages:
-        stream, where, path = [], [], []
-        for kind, what, names in tokens(page)[:ALIGNED]:
-            if kind == "text":
-                if not what.strip():
-                    continue
-                stream.append("#")
-                where.append((" ".join(path), _SPACE.sub(" ", what).strip()))
+        out = aligned(out, wrapped(page)[0])
+    return judged(out or Part("page"))
+
+
+def _named(key: str, words: set[str]) -> bool:
+    """Whether a name of the key is made of such words, with words of layout at most."""
+    for name in key.split(".")[1:]:
+        parts = _NAME.findall(name)
+        if any(p in words for p in parts) and all(p in words or p in LAYOUT_WORDS for p in parts):
+            return True
+    return False
+
+
+def judged(root: Part) -> Part:
+    """The wrapper with what each part's slots hold (mass: characters a page) and what is left out."""
+    sums: dict[int, tuple[int, int, int]] = {}
+    order: list[Part] = [root]
+    for part in order:
+        order += part.kids
+    for part in reversed(order):
+        below = [sums[id(k)] for k in part.kids]
+        sums[id(part)] = tuple(x + sum(b[i] for b in below) for i, x in enumerate((part.chars, part.linked, part.links)))
+    own = lambda p: sums[id(p)][0] - sums[id(p)][1]
+    for part in order:
+        chars, linked, links = sums[id(part)]
+        part.left_out = part.tag in LEFT_OUT or _named(part.key, COMMENT_WORDS)
+        if not part.left_out and part.tag not in WALLS:
+            part.left_out = (_named(part.key, LEFT_OUT_WORDS) and 2 * own(part) < own(root)) or (part.key not in ("#", "()", "page", "p") and chars > 0 and linked >= LINKED * chars and links >= LINKS * part.times)
+    for constants in (root.text is None, False):  # where pages are equal throughout, nothing is a constant
+        for part in reversed(order):
+            held = part.chars - part.linked if part.key == "#" else sum(k.mass * k.pages for k in part.kids)
+            if part.key == "#":
+                constant = constants and part.text is not None and part.pages >= SHARED
+                part.left_out = constant
+            part.mass = 0.0 if part.left_out else held / max(part.pages, 1)
+        if root.mass:
+            break
+    return root
+
+
+def _flat(pairs) -> Iterator[tuple[Part, Part]]:
+    """Pairs of a page's parts and the wrapper's (else the page's own), groups opened."""
+    for mine, theirs in pairs:
+        if mine is None:
+            continue
+        if mine.key == "()":
+            yield from _flat(_pairs(mine.kids, theirs.kids if theirs is not None else mine.kids))
+        else:
+            yield mine, theirs if theirs is not None else mine
+
+
+def _children(mine: Part, theirs: Part) -> list[tuple[Part, Part]]:
+    return list(_flat(_pairs(mine.kids, theirs.kids) if mine is not theirs else zip(mine.kids, mine.kids)))
+
+
+def _article(mine: Part, theirs: Part) -> tuple[Part, Part]:
+    """The page's part, and the wrapper's, that is the article."""
+    while mine.tag not in ARTICLE:
+        pairs = [(m, t) for m, t in _children(mine, theirs) if not t.left_out]
+        blocks = [(m, t) for m, t in pairs if m.tag in BLOCKS and m.times == 1 and t.mass > 0]
+        if not blocks:
+            break
+        tagged = [x for x in blocks if x[1].tag in ARTICLE]
+        best = max(tagged or blocks, key=lambda x: x[1].mass)
+        beside = [t for m, t in pairs if m is not best[0] and t.mass > 0]
+        if not tagged and (any(t.tag not in BLOCKS for t in beside) or sum(t.mass for t in beside) >= BESIDE * best[1].mass):
+            break
+        mine, theirs = best
+    return mine, theirs
+
+
+def _slots(mine: Part, theirs: Part, out: list[int]) -> None:
+    for m, t in _children(mine, theirs):
+        if not t.left_out:
+            if m.key == "#":
+                out += m.leaves
             else:
-                key = f"{what}.{names.replace(' ', '.')}" if names else what
-                stream.append(f"</{what}>" if kind == "close" else f"<{key}>")
-                if what not in INLINE and what != "p" and kind == "open":
-                    path.append(key)
-                elif kind == "close" and what not in INLINE and what != "p":
-                    for i in range(len(path) - 1, -1, -1):
-                        if path[i].split(".")[0] == what:
-                            del path[i:]
-                            break
-        streams.append(stream)
-        texts.append(where)
-    wrapper: list = []
-    for i, stream in enumerate(streams):
-        wrapper = folded(stream) if not i else aligned(wrapper, folded(stream))
-    mass: Counter = Counter()
-    constant = Counter(x for where in texts for x in set(where))
-    article = False
-    for where in texts:
-        for path, text in where:
-            keys = path.split(" ") if path else []
-            parts = [(k.split(".")[0], " ".join(k.split(".")[1:])) for k in keys]
-            if any(_is_article(*p) for p in parts):
-                article = True
-            if any(_left_out(t, n, False) for t, n in parts):
-                continue
-            if len(texts) > 2 and constant[(path, text)] == len(texts) and len(set(map(tuple, texts))) > 1:
-                continue  # a constant of the template, not a slot
-            for depth in range(len(keys), 0, -1):  # nearer containers count a little more
-                mass[" ".join(keys[:depth])] += len(text) * (1 + 0.01 * depth)
-    best = "" if article or not mass else max(mass, key=lambda k: (round(mass[k], 6), len(k)))
-    return {"wrapper": written_out(wrapper), "article": article, "path": best}
+                _slots(m, t, out)
 
 
-def extract(page: str | None, plan: dict | None = None) -> str:
-    """The main text of a page: blocks joined by an empty line."""
+def extract(page: str | None, wrapper: Part | None = None) -> str:
+    """The main text of a page by a judged wrapper (None: its own): blocks joined by an empty line."""
     if not page:
         return ""
-    stream = tokens(page)
-    has_article = any(k == "open" and _is_article(t, n) for k, t, n in stream)
-    if not has_article and (plan is None or not plan.get("path")):
-        plan = infer([page])
-    want = None if has_article else plan["path"]
-    got = _read(stream, want)
-    if not got and not has_article and want is not None:  # the page is not like its host's others: its own wrapper
-        own = infer([page])["path"]
-        got = _read(stream, own) or _read(stream, "")
-    return "\n\n".join(got)
-
-
-def _read(stream, want: str | None) -> list[str]:
-    """Blocks inside the article (want None) or the container path want ("": the page)."""
-    blocks, parts = [], []
-    stack: list[list] = []  # [tag, left out, begins the article, key]
-    out = inside = 0  # how many open elements leave out, are the article
-
-    def close():
-        if parts:
-            if text := _SPACE.sub(" ", entities.unescape("".join(parts))).strip():
-                blocks.append(text)
-            parts.clear()
-
-    if want == "":
-        inside = 1
-    for kind, what, names in stream:
-        if kind == "text":
-            if inside and not out:
-                parts.append(what)
-            continue
-        if what in INLINE and not (kind == "open" and names and _left_out(what, names, True)):
-            if what == "br" and inside and not out:
-                parts.append(" ")
-            if kind != "close" or not any(f[0] == what for f in stack[-3:]):
-                continue
-        if kind == "void":
-            if what == "hr":
-                close()
-            continue
-        if what in ("td", "th") and inside and not out:
-            parts.append(" ")
-        else:
-            close()
-        if what == "p" and not names:
-            continue
-        if kind == "open":
-            begins = _is_article(what, names) if want is None else False
-            if want:
-                begins = " ".join([f[3] for f in stack] + [f"{what}.{names.replace(' ', '.')}" if names else what]) == want
-            if begins and not inside:  # what was left open before it no longer counts
-                for f in stack:
-                    f[1] = False
-                out = 0
-            leaves = not begins and _left_out(what, names, bool(inside))
-            stack.append([what, leaves, begins, f"{what}.{names.replace(' ', '.')}" if names else what])
-            out, inside = out + leaves, inside + begins
-        else:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == what:
-                    for f in stack[i:]:
-                        out, inside = out - f[1], inside - f[2]
-                    del stack[i:]
-                    break
-    close()
-    return blocks
+    mine, texts = wrapped(page)
+    leaves: list[int] = []
+    judged(mine)
+    _slots(*_article(mine, mine if wrapper is None else wrapper), leaves)
+    return "\n\n".join(texts[i] for i in sorted(leaves))
+
+
+def _merged(rows: DataFrame, sort: bool) -> DataFrame:
+    """host, wrapper: those of each host in a partition aligned (all of them if the rows are sorted)."""
+    schema = "host string, wrapper string"
+
+    def run(batches):
+        host, now = None, None
+        for batch in batches:
+            for h, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if h != host and now is not None:
+                    yield pa.RecordBatch.from_pydict({"host": [host], "wrapper": [json.dumps(now.listed())]})
+                    now = None
+                host, now = h, aligned(now, Part.of(json.loads(w)))
+        if now is not None:
+            yield pa.RecordBatch.from_pydict({"host": [host], "wrapper": [json.dumps(now.listed())]})
+
+    return (rows.sortWithinPartitions("host", "wrapper") if sort else rows).select("host", "wrapper").mapInArrow(run, schema)
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """host, wrapper (JSON) of each host of pages(host, html), of all its pages.
+
+    Wrappers of a task's pages are aligned in two steps, so that no task gets all
+    of a large host.
+    """
+
+    def run(batches):
+        now: dict[str, Part] = {}
+
+        def out():
+            got = pa.RecordBatch.from_pydict({"host": list(now), "wrapper": [json.dumps(w.listed()) for w in now.values()]})
+            now.clear()
+            return got
 
+        for batch in batches:
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                now[host] = aligned(now.get(host), _light(wrapped(page)[0]))
+                if len(now) >= HOSTS:
+                    yield out()
+        if now:
+            yield out()
 
-def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """host, plan (JSON with the wrapper) from at most `sample` pages of each host, chosen by hash."""
-    order = Window.partitionBy("host").orderBy(F.xxhash64("page_id", "html"), "page_id")
-    some = pages.where("html is not null and html != ''").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= sample).select("host", "html")
+    some = pages.where("html is not null and html != ''").select("host", "html").mapInArrow(run, "host string, wrapper string")
+    first = some.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))).repartition("host", "salt")
+    return _merged(_merged(first, True).repartition("host"), True)
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [key[0]], "plan": [json.dumps(infer(sorted(rows["html"])))]})
 
-    return some.groupBy("host").applyInPandas(one, "host string, plan string")
+def _light(part: Part) -> Part:
+    """The part without the places of its texts."""
+    todo = [part]
+    for p in todo:
+        p.leaves = []
+        todo += p.kids
+    return part
 
 
-def extract_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages(page_id, url, html, ...).
 
     Null and empty pages have an empty text; urls that are null or have no host
     share one host; repeated rows stay; other columns are ignored; an empty
     table gives an empty result.  Whole pages are read, however long.
     """
-    base = pages.select("page_id", "url", "html").withColumn("host", parse(F.col("url"))[0])
-    joined = base.join(wrappers(base, sample), "host", "left")
+    base = pages.select("page_id", "url", "html", parse(F.col("url"))[0].alias("host"))
+    plans = written(wrappers(base), "wrappers")
+    size = plans.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("host")), F.lit(0))).first()[0]
+    if size <= BROADCAST:
+        joined = base.join(F.broadcast(plans), "host", "left")
+    else:  # a host's pages are dealt to several tasks, each of which gets the wrapper
+        salts = plans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = base.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("int")).join(salts, ["host", "salt"], "left")
 
     def each(got, seen):
         text = []
-        for page, plan in zip(got["html"], got["plan"]):
+        for page, plan in zip(got["html"], got["wrapper"]):
             if plan is not None and plan not in seen:
-                if len(seen) > 1000:
+                if len(seen) >= 200:
                     seen.clear()
-                seen[plan] = json.loads(plan)
+                seen[plan] = judged(Part.of(json.loads(plan)))
             text.append(extract(page, seen.get(plan)))
         return {"page_id": got["page_id"], "url": got["url"], "text": text, "n_chars": [len(t) for t in text]}
 
-    return by_batch(joined.select("page_id", "url", "html", "plan"), each, "page_id bigint, url string, text string, n_chars bigint", dict)
+    return by_batch(joined.select("page_id", "url", "html", "wrapper"), each, "page_id bigint, url string, text string, n_chars bigint", dict)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -306,13 +306,66 @@ def test_html_articles(spark):
         assert r.text == "\n\n".join(x for x in parts if x) and r.n_chars == len(r.text)
 
 
-def test_html_wrapper():
-    make = lambda body, n: f'<html><body><header>Site</header><div class="menu"><a>x</a></div><div class="post"><h2>T{n}</h2>{body}</div><div class="comments"><p>nice</p></div><aside>s</aside></body></html>'
-    pages = [make("".join(f"<p>text {n} {i} long enough to matter</p>" for i in range(n)), n) for n in (1, 3, 4)]
-    plan = op8_html.infer(pages)
-    assert "(<p>#</p>)+" in plan["wrapper"] and plan["path"].endswith("div.post")
-    assert op8_html.extract(pages[0], plan) == "T1\n\ntext 1 0 long enough to matter"
+def _site(n, menu=4, article="article", body=None, notice="cookie-notice", comments="comments"):
+    links = "".join(f'<li><a href="/{i}">menu {i} of {n}</a></li>' for i in range(menu))
+    text = body if body is not None else "".join(f"<p>text {n} {i} long enough to matter, <a href=x>linked</a></p>" for i in range(n))
+    return (f'<html><head><title>x</title></head><body><div><ul>{links}</ul></div><div class="{notice}">We use {n} cookies</div><{article}><h1>T{n}</h1>{text}'
+            f'<div>Share this article</div></{article.split()[0]}><div class="{comments}"><p>nice {n}</p><p>so nice</p></div><div>Site &copy; 2000</div></body></html>')
+
+
+def _want(n):
+    return "\n\n".join([f"T{n}", *(f"text {n} {i} long enough to matter, linked" for i in range(n))])
+
+
+@pytest.mark.parametrize("article", ["article", "div", 'div class="search-algorithms"', "section id=post-17"])
+@pytest.mark.parametrize("menu", [4, 900])
+def test_html_wrapper(article, menu):
+    counts = (3, 5, 6, 4, 7, 9)
+    pages = [_site(n, menu, article) for n in counts]
+    wrapper = op8_html.infer(pages)
+    assert "(<p>#</p>)+" in wrapper.expression() and "(<li>#</li>)+" in wrapper.expression()
+    assert [op8_html.extract(p, wrapper) for p in pages] == [_want(n) for n in counts]
+
+
+def test_html_text_comes_from_the_wrapper():
+    pages = [_site(n) for n in (3, 5, 6, 4, 7, 9)]
+    other = [f"<html><body><article><h2>no such heading {n}</h2></article></body></html>" for n in range(6)]
+    right, wrong = op8_html.infer(pages), op8_html.infer(other)
+    assert op8_html.extract(pages[0], right) != op8_html.extract(pages[0], wrong)  # the constant is known from the pages only
+    assert "Share this article" in op8_html.extract(pages[0], wrong)
+
+
+def test_html_second_layout_and_late_blocks():
+    story = lambda n: f'<html><body><div class="story"><h2>S{n}</h2><p>other {n} layout text</p><ul><li>point {n}</li></ul></div></body></html>'
+    halves = lambda n: f'<html><body><div class="part1">{"<p>first half</p>" * 2000}</div><div class="part2"><p>second {n} half</p>{"<p>more of it</p>" * 500}</div></body></html>'
+    pages = [_site(n) for n in range(3, 9)] + [story(n) for n in range(2)]
+    wrapper = op8_html.infer(pages)
+    assert op8_html.extract(pages[-1], wrapper) == "S1\n\nother 1 layout text\n\npoint 1"
+    got = op8_html.extract(halves(1), op8_html.infer([halves(n) for n in range(6)]))
+    assert got.count("first half") == 2000 and got.count("more of it") == 500 and "second 1 half" in got
+
+
+def test_html_edges(spark):
     assert op8_html.extract("") == op8_html.extract(None) == "" and op8_html.extract("<p>a &amp; b\n c") == "a & b c"
+    assert op8_html.extract("<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>after</p>") == "deep\n\nafter"
+    assert op8_html.extract("<table><tr><td>a</td><td>b</td></tr><tr><td>c<br>d</table>") == "a b\n\nc d"
+    assert op8_html.extract("plain text < 3") and op8_html.extract("</div></p>") == ""
+    same = _site(3)
+    assert op8_html.extract(same, op8_html.infer([same] * 8)).startswith("T3\n\ntext 3 0")  # equal pages hold no constants
+    html_rows = [(i, "http://a.org/x", _site(3 + i % 5), 1, "w") for i in range(20)] + [(20, None, None, 1, "w"), (20, None, "", 1, "w"), (21, "no", "<p>x</p>", 1, "w"), (None, "http://a.org", None, 1, "w")]
+    pages = spark.createDataFrame(html_rows, "page_id long, url string, html string, host int, wrapper string")
+    got = op8_html.extract_text(pages)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    rows_of = got.collect()
+    assert len(rows_of) == 24 and sum(r.text == "" for r in rows_of) == 3 and all(r.n_chars == len(r.text) for r in rows_of)
+    assert {r.page_id: r.text for r in rows_of if r.page_id is not None and r.page_id < 20} == {i: _want(3 + i % 5) for i in range(20)}
+    assert op8_html.extract_text(pages.limit(0)).count() == 0
+
+
+def test_html_paths_of_large_tables(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://{'big' if i % 3 else 'small'}.org/x", _site(3 + i % 5)) for i in range(60)], "page_id long, url string, html string").repartition(7)
+    monkeypatch.setattr(op8_html, "BROADCAST", 0)
+    assert {r.page_id: r.text for r in op8_html.extract_text(pages).collect()} == {i: _want(3 + i % 5) for i in range(60)}
 
 
 def test_urls_edges(spark):
