@@ -1,18 +1,20 @@
 """Exact top-k inner-product search by no-random-access aggregation.
 
-A block of candidates holds, for each dimension, its sorted list (best first
-for a query's sign).  The lists are read together, a stretch at a time.  What a
-list has shown of a candidate counts exactly; what it has not shown lies
-between the list's last value read and its worst, which bounds the candidate's
-score from both sides.  A candidate whose upper bound is under the k-th lower
-bound leaves, and reading ends for a query when no more than its winners can
-remain or only scores are unresolved; those are then resolved exactly.  Bounds
-of all queries of a block are formed by matrix products.  The best of earlier
-blocks of a task bound the later ones.
-
-Queries and candidates meet block by block: each candidate block is sent once to
-every query block, in as many slices as there are tasks, so that no key holds
-more than its share.  Only k rows a query leave a pair of blocks.
+Every dimension is a list of the candidates' values.  A query reads its lists
+one after the other, the heaviest weights first, and what it has read of a
+candidate counts exactly.  What the unread lists can still add lies between two
+bounds: the smaller of what the lists' heads allow and of the product of what
+is left of both vectors' norms (Cauchy and Schwarz; norms come with the block).
+So every candidate has a lower and an upper score.  After each stretch of
+lists, candidates whose upper bound is under the k-th lower bound leave: no
+more of them is read, and their scores are never resolved.  Reading stops for a
+query when only k candidates can qualify or its lists are at their end; then
+the scores of those that are left are resolved exactly.  The k-th best of
+earlier blocks of a task bounds the later ones.
+
+Queries and candidates meet block by block: each query block is sent to every
+slice of the candidates, so that no key holds more than its share.  Only k rows
+a query leave a pair of blocks.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, QUERY_BLOCK, BLOCK = 5, 1024, 8192
-#: Shares of the lists after which bounds are formed.
-STRETCHES = (0.25, 0.5, 0.75)
+#: Shares of a query's squared weights that lists read so far hold at the end of each stretch; queries that are read together.
+STRETCHES, TOGETHER = (0.85, 0.93, 0.97, 0.99), 128
 
 
 def whole(embedding: Column) -> Column:
@@ -59,64 +61,84 @@ def blocks(vectors: DataFrame, size: int) -> DataFrame:
 
 
 class Lists:
-    """The sorted lists of a block: each value's rank from the top and from the bottom."""
+    """The lists of a block: values, their squares, each list's highest and lowest value."""
 
     def __init__(self, values: np.ndarray):
-        n = len(values)
-        order = np.argsort(values, axis=0, kind="stable")
-        self.n, self.values = n, values.astype(np.float64)
-        self.up = np.empty_like(order)
-        np.put_along_axis(self.up, order, np.arange(n)[:, None], axis=0)  # 0: the smallest
-        self.sorted = np.take_along_axis(self.values, order, axis=0)
+        self.whole, self.values = values, values.astype(np.float64)
+        self.squares = self.values * self.values
+        self.high, self.low = self.values.max(0), self.values.min(0)
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, lists: Lists, ids: np.ndarray, k: int, floor: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def search(queries: np.ndarray, query_ids: np.ndarray, lists: Lists, ids: np.ndarray, k: int, floor: np.ndarray, reads: dict | None = None) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(query row, candidate ids, scores) of each query's k best in a block.
 
     floor: for each query, a score that k candidates of earlier blocks reach.
+    reads, if given, counts the values read and the scores resolved.
     """
-    q = queries.astype(np.float64)
-    plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-    open_q, open_c = np.arange(len(q)), np.arange(lists.n)
-    for share in STRETCHES:
-        depth = math.ceil(lists.n * share)
-        if lists.n <= 4 * k or not len(open_q) or _wide(queries, lists.values):  # beyond doubles' whole numbers bounds would not be exact
-            break
-        # a list is read from the top for positive weights and from the bottom for negative ones
-        from_top, from_bottom = lists.up[open_c] >= lists.n - depth, lists.up[open_c] < depth
-        x, p, m = lists.values[open_c], plus[open_q], minus[open_q]
-        seen = p @ np.where(from_top, x, 0).T + m @ np.where(from_bottom, x, 0).T
-        top, bottom = lists.sorted[lists.n - depth], lists.sorted[depth - 1]  # the last values read
-        upper = seen + (p * top) @ (~from_top).T.astype(float) + (m * bottom) @ (~from_bottom).T.astype(float)
-        lower = seen + (p * lists.sorted[0]) @ (~from_top).T.astype(float) + (m * lists.sorted[-1]) @ (~from_bottom).T.astype(float)
-        reach = np.full(len(open_q), -np.inf)
-        if len(open_c) > k:  # one of the k may be the query's own row
-            reach = np.partition(lower, len(open_c) - k - 1, axis=1)[:, len(open_c) - k - 1]
-        can = upper >= np.maximum(reach, floor[open_q])[:, None]
-        alive, any_q = can.any(0), can.any(1)
-        if alive.mean() < 0.02:
-            open_c, open_q = open_c[alive], open_q[any_q]
-            break
-        open_c, open_q = open_c[alive], open_q[any_q]
     out = []
-    # resolve: exact scores of those that bounds did not decide
-    exact = queries[open_q] @ lists.values[open_c].astype(np.int64).T if _wide(queries, lists.values) else (q[open_q] @ lists.values[open_c].T).astype(np.int64)
-    own = ids[open_c]
-    for row, at in enumerate(open_q):
-        score, mine = exact[row], own != query_ids[at]
-        keep = np.flatnonzero(mine & (score >= floor[at]))
-        if len(keep) > k:
-            edge = np.partition(score[keep], len(keep) - k)[len(keep) - k]
-            keep = keep[score[keep] >= edge]
-        best = keep[np.lexsort((own[keep], -score[keep]))][:k]
-        if len(best):
-            out.append((int(at), own[best], score[best]))
+    for at in range(0, len(queries), TOGETHER):
+        part = slice(at, at + TOGETHER)
+        for row, found, score in _search(queries[part], query_ids[part], lists, ids, k, floor[part], reads):
+            out.append((at + row, found, score))
     return out
 
 
-def _wide(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether products may leave the whole numbers that doubles hold."""
-    return bool(len(a) and len(b)) and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] >= 2**53
+def _search(queries, query_ids, lists: Lists, ids, k: int, floor, reads):
+    q = queries.astype(np.float64)
+    n, width = len(ids), q.shape[1]
+    order = np.argsort(-np.abs(q), axis=1, kind="stable")
+    weights = np.take_along_axis(q, order, axis=1)
+    energy = np.cumsum(weights * weights, axis=1)
+    total = energy[:, -1]
+    # what lists not yet read can add at most and at least by their heads, from the end of the order
+    ends = np.stack([np.maximum(q * lists.high, q * lists.low), np.minimum(q * lists.high, q * lists.low)])
+    ends = np.take_along_axis(ends, order[None], axis=2)
+    after = np.concatenate([np.cumsum(ends[:, :, ::-1], axis=2)[:, :, ::-1], np.zeros((2, len(q), 1))], axis=2)
+    depths = [np.minimum((energy < share * total[:, None]).sum(1) + 1, width) for share in STRETCHES]
+    slack = 1 + 1e-9 * np.sqrt(total * lists.squares.sum(1).max(initial=0.0))  # of the bounds' arithmetic
+
+    def bounds(seen, rest, rows, depth):
+        left = np.sqrt(np.maximum(total[rows] - energy[rows, depth - 1], 0))
+        norm = left * np.sqrt(np.maximum(rest, 0))
+        upper = seen + np.minimum(norm, after[0, rows, depth]) + slack[rows]
+        return seen + np.maximum(-norm, after[1, rows, depth]) - slack[rows], upper
+
+    def reached(lower, row):
+        """The k-th best lower bound; one of the k may be the query's own row."""
+        return max(floor[row], np.partition(lower, len(lower) - k - 1)[len(lower) - k - 1]) if len(lower) > k else floor[row]
+
+    # first stretch: all candidates, by matrix products
+    depth = depths[0]
+    read = np.zeros(q.shape, bool)
+    np.put_along_axis(read, order, np.arange(width)[None, :] < depth[:, None], axis=1)
+    seen = (q * read) @ lists.values.T
+    rest = (~read).astype(np.float64) @ lists.squares.T
+    lower, upper = bounds(seen, rest, np.arange(len(q))[:, None], depth[:, None])
+    out, resolved, values = [], 0, int(depth.sum()) * n
+    for row in range(len(q)):
+        open_ = np.flatnonzero(upper[row] >= reached(lower[row], row))
+        s, r, d = seen[row, open_], rest[row, open_], int(depth[row])
+        for more in depths[1:]:
+            to = int(more[row])
+            if len(open_) <= k or to <= d:
+                continue
+            next_lists = order[row, d:to]
+            s = s + lists.values[np.ix_(open_, next_lists)] @ q[row, next_lists]
+            r = r - lists.squares[np.ix_(open_, next_lists)].sum(1)
+            values, d = values + len(open_) * (to - d), to
+            low, up = bounds(s, r, row, d)
+            keep = up >= reached(low, row)
+            open_, s, r = open_[keep], s[keep], r[keep]
+        score = lists.whole[open_] @ queries[row]
+        resolved, values = resolved + len(open_), values + len(open_) * (width - d)
+        best = np.flatnonzero((ids[open_] != query_ids[row]) & (score >= floor[row]))
+        best = best[np.lexsort((ids[open_][best], -score[best]))][:k]
+        if len(best):
+            out.append((row, ids[open_][best], score[best]))
+    if reads is not None:
+        for name, more in (("values", values), ("resolved", resolved), ("all values", n * q.size), ("all scores", n * len(q))):
+            reads[name] = reads.get(name, 0) + more
+    return out
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, query_block: int = QUERY_BLOCK, block: int = BLOCK) -> DataFrame:
@@ -124,32 +146,40 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, query_block: int = Q
 
     vectors(vec_id, v, ...): v is an array of whole numbers; null vectors and
     null ids take no part, and vectors meet those of their own width only.  Ties
-    go to the smaller vec_id.  A query is not its own candidate: rows of its id
-    are left out.  A repeated row counts once, as its least vector.  Fewer
-    candidates give fewer rows, an empty table none; other columns are ignored.
+    go to the smaller vec_id.  Every row counts: rows of an id that repeats are
+    candidates each for themselves, and as queries they share one list of k; rows
+    of a query's own id are not its candidates.  Fewer candidates give fewer
+    rows, an empty table none; other columns are ignored.
     """
     spark = vectors.sparkSession
-    base = vectors.where("v is not null and vec_id is not null").groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = base.where(is_query)
-    n, n_q = base.count(), asked.count()
+    base = vectors.where("v is not null and vec_id is not null").select("vec_id", "v", F.coalesce(is_query, F.lit(False)).alias("asks"))
+    n, n_q = base.agg(F.count("*"), F.count_if("asks")).first()
     if not n_q:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     q_parts, slices = max(1, math.ceil(n_q / query_block)), max(1, math.ceil(n / block))
-    dealt = lambda df, parts: df.repartition(parts, F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)))
-    left = blocks(dealt(asked, q_parts), query_block).select("width", F.col("ids").alias("q_ids"), F.col("values").alias("q_values"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    dealt = lambda df, parts: df.repartition(parts, F.xxhash64("vec_id", "v"))
+    left = blocks(dealt(base.where("asks"), q_parts), query_block).select("width", F.col("ids").alias("q_ids"), F.col("values").alias("q_values"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
     right = blocks(dealt(base, slices), block).select("width", "ids", "values", F.pmod(F.xxhash64("ids"), F.lit(slices)).cast("int").alias("slice"))
-    pairs = right.join(left.hint("shuffle_hash"), ["width", "slice"])
+    # the candidate blocks of a slice are few and wait, the query blocks pass by
+    pairs = left.join(right.hint("merge"), ["width", "slice"])
 
     def run(batches):
         names = ("query_id", "vec_id", "score")
+        floors: dict[bytes, np.ndarray] = {}
+        held: dict[bytes, Lists] = {}
         for b in batches:
-            floors: dict[bytes, np.ndarray] = {}
             for at in range(b.num_rows):
                 width = b.column("width")[at].as_py()
                 q_ids, ids = (np.frombuffer(b.column(c)[at].as_py(), "<i8") for c in ("q_ids", "ids"))
-                q, x = (np.frombuffer(b.column(c)[at].as_py(), "<i8").reshape(-1, width) for c in ("q_values", "values"))
-                floor = floors.setdefault(q_ids.tobytes(), np.full(len(q_ids), -np.inf))
-                got = search(q, q_ids, Lists(x), ids, k, floor)
+                q, raw = np.frombuffer(b.column("q_values")[at].as_py(), "<i8").reshape(-1, width), b.column("values")[at].as_py()
+                if raw not in held:
+                    if len(held) > 3:
+                        held.clear()
+                    held[raw] = Lists(np.frombuffer(raw, "<i8").reshape(-1, width))
+                if len(floors) > 1000:
+                    floors.clear()
+                floor = floors.setdefault(q_ids.tobytes() + q.tobytes(), np.full(len(q_ids), -np.inf))
+                got = search(q, q_ids, held[raw], ids, k, floor)
                 for i, _, score in got:
                     if len(score) == k:
                         floor[i] = max(floor[i], score[-1])

@@ -91,19 +91,40 @@ def test_language_held_out(spark):
 
 def test_top_k_against_brute_force(spark):
     rng = random.Random(1)
-    vectors = [(i, [rng.randint(-9, 9) for _ in range(4)]) for i in range(120)] + [(7, [0, 0, 0, 0]), (200, None), (None, [1, 2, 3, 4]), (300, [1, 2])]
-    df = spark.createDataFrame(vectors, "vec_id long, v array<long>")
+    vectors = [(i, [rng.randint(-9, 9) for _ in range(4)]) for i in range(120)] + [(7, [0, 0, 0, 0]), (50, [9, 9, -9, 1]), (8, [9, 9, 9, 9]), (100, [0, 0, 0, 0]), (200, None), (None, [1, 2, 3, 4]), (300, [1, 2]), (9, [])]
+    df = spark.createDataFrame([(i, v, 1, "x") for i, v in vectors], "vec_id long, v array<long>, slice int, ids string")
     got = defaultdict(list)
     for r in op2_topk.top_k(df, F.col("vec_id") % 50 == 0, query_block=2, block=17).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
-    least = {}
-    for i, v in vectors:
-        if i is not None and v is not None:
-            least[i] = min(least.get(i, v), v)
-    for q in (0, 50, 100):
-        every = sorted(((-sum(a * b for a, b in zip(least[q], v)), i) for i, v in least.items() if i != q and len(v) == 4))[:5]
+        assert r.rank == len(got[r.query_id])
+    for q in (0, 50, 100):  # rows of one id are one query, every row is a candidate
+        every = sorted((-sum(a * b for a, b in zip(v, w)), i) for j, v in vectors if j == q for i, w in vectors if i is not None and i != q and w is not None and len(w) == 4)[:5]
         assert got[q] == [(i, -s) for s, i in every]
-    assert 300 not in got
+    assert 300 not in got and op2_topk.top_k(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_top_k_repeated_ids_against_duckdb(spark, tmp_path):
+    rows_of = [(i % 40, [((i * 7 + j * 3) % 11 - 5) / 9 for j in range(6)]) for i in range(90)] + [(0, None), (3, [None] * 6), (4, [float("nan")] * 6)]
+    spark.createDataFrame(rows_of, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(rows(op2_topk.query(spark, str(tmp_path)))) == sorted(con.execute(op2_topk.SQL).fetchall())
+
+
+def test_top_k_leaves_outsiders_unresolved():
+    rng = np.random.default_rng(4)
+    x = np.floor(256 * rng.normal(size=(4000, 32)) / np.sqrt(32)).astype(np.int64)
+    ids, q = np.arange(4000), x[::50]
+    reads: dict = {}
+    got = op2_topk.search(q, ids[::50], op2_topk.Lists(x), ids, 5, np.full(len(q), -np.inf), reads)
+    score = q @ x.T
+    for row, found, best in got:
+        order = [i for i in np.lexsort((ids, -score[row])) if i != ids[::50][row]][:5]
+        assert found.tolist() == order and best.tolist() == score[row][order].tolist()
+    assert len(got) == len(q) and reads["resolved"] < 0.1 * reads["all scores"] and reads["values"] < 0.9 * reads["all values"]
+    # bounds hold for large numbers too
+    big = x * 10**6
+    assert [f.tolist() for _, f, _ in op2_topk.search(big[::50], ids[::50], op2_topk.Lists(big), ids, 5, np.full(len(q), -np.inf))] == [f.tolist() for _, f, _ in got]
 
 
 def test_quality_held_out(spark):
