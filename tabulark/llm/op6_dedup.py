@@ -1,6 +1,7 @@
 """Near-duplicate documents by DartMinHash.
 
-A document is a weighted set of word shingles.  Each element throws hashed
+A document is a weighted set of word shingles, each weighing as often as it
+occurs; two documents' similarity is the weighted Jaccard one.  Each element throws hashed
 darts: along a rank axis they arrive at rate one for each unit of weight, the
 same for every document that holds the element, and those up to a rank that
 yields about k ln k + 2k darts in all are kept.  A dart's hash names one of k
@@ -89,16 +90,17 @@ def word_hashes(text: str) -> np.ndarray:
     return _mix(np.add.reduceat(value, starts) * down[starts])
 
 
-def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
-    """Distinct hashed shingles of n words; of a shorter text all its words as one."""
+def shingles(text: str | None, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed shingles of n words, each once, and how often each occurs; of a shorter text all its words as one."""
     words = word_hashes(text) if text else np.zeros(0, np.uint64)
     if not len(words):
-        return words
+        return words, np.zeros(0)
     m = max(1, len(words) - n + 1)
     out = np.zeros(m, np.uint64)
     for i in range(min(n, len(words))):
         out = out * np.uint64(0xD6E8FEB86659FD93) + words[i : i + m]
-    return np.unique(_mix(out))
+    elements, counts = np.unique(_mix(out), return_counts=True)
+    return elements, counts.astype(np.float64)
 
 
 def darts(elements: np.ndarray, weights: np.ndarray, k: int = COORDINATES) -> np.ndarray:
@@ -138,10 +140,10 @@ def darts(elements: np.ndarray, weights: np.ndarray, k: int = COORDINATES) -> np
 
 def signature(text: str | None, k: int = COORDINATES, rows: int = ROWS) -> tuple[list[int], bytes]:
     """A signed 64-bit key for each band, and the sketch; nothing for a text without a word."""
-    elements = shingles(text)
+    elements, weights = shingles(text)
     if not len(elements):
         return [], b""
-    found = darts(elements, np.ones(len(elements)), k)
+    found = darts(elements, weights, k)
     sample = found.reshape(-1, rows)
     key = np.arange(1, len(sample) + 1, dtype=np.uint64)
     for r in range(rows):
@@ -266,10 +268,11 @@ def joined(rows: DataFrame, least: float) -> DataFrame:
     need = agreement(least)
 
     def of_bucket(key, lab, sketch, own):
-        size = np.array([len(x) for x in own])
-        dense = np.unique(np.concatenate(own), return_inverse=True)[1]
-        ids = np.split(dense, np.cumsum(size)[:-1])
-        flag = np.zeros(len(dense), bool)
+        size = np.array([w.sum() for _, w in own])
+        many = np.array([len(e) for e, _ in own])
+        dense = np.unique(np.concatenate([e for e, _ in own]), return_inverse=True)[1]
+        ids = np.split(dense, np.cumsum(many)[:-1])
+        mine = np.zeros(int(dense.max(initial=0)) + 1)
         for i in range(len(key) - 1):
             others = i + 1 + np.flatnonzero(lab[i + 1 :] != lab[i])
             for at in range(0, len(others), 4096):
@@ -277,9 +280,10 @@ def joined(rows: DataFrame, least: float) -> DataFrame:
                 part = part[(lab[part] != lab[i]) & ((sketch[part] == sketch[i]).sum(1) >= need) & (np.minimum(size[part], size[i]) >= least * np.maximum(size[part], size[i]) - 1e-9)]
                 if not len(part):
                     continue
-                flag[ids[i]] = True
-                both = np.add.reduceat(flag[np.concatenate([ids[j] for j in part])].astype(np.int64), np.cumsum(size[part]) - size[part])
-                flag[ids[i]] = False
+                mine[ids[i]] = own[i][1]
+                least_of = np.minimum(mine[np.concatenate([ids[j] for j in part])], np.concatenate([own[j][1] for j in part]))
+                both = np.add.reduceat(least_of, np.cumsum(many[part]) - many[part])
+                mine[ids[i]] = 0
                 for j in part[both / (size[part] + size[i] - both) >= least - 1e-9].tolist():
                     if lab[j] != lab[i]:
                         lab[lab == lab[j]] = lab[i]
@@ -296,9 +300,11 @@ def joined(rows: DataFrame, least: float) -> DataFrame:
     return by_bucket(rows, ("bucket", "key", "label", "sketch", "text"), found, "a binary, b binary")
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(len(a) + len(b) - both, 1)
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity of two texts' shingles: the sum of the lesser counts over that of the greater."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    both = np.minimum(a[1][i], b[1][j]).sum()
+    return both / max(a[1].sum() + b[1].sum() - both, 1)
 
 
 def linked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -318,7 +324,7 @@ def linked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
         for a, b, x, y in zip(got["a"], got["b"], got["text_a"], got["text_b"]):
             x, y = of(x), of(y)
-            if min(len(x), len(y)) >= least * max(len(x), len(y)) - 1e-9 and similarity(x, y) >= least - 1e-9:
+            if min(x[1].sum(), y[1].sum()) >= least * max(x[1].sum(), y[1].sum()) - 1e-9 and similarity(x, y) >= least - 1e-9:
                 out["a"].append(a)
                 out["b"].append(b)
         return out
@@ -373,7 +379,6 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, compared: int = COM
 
     signed = written(by_batch(base, sign, "doc_id bigint, key binary, bands array<bigint>, sketch binary"), "signed")
     nodes = written(signed.groupBy("key").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).where("size(bands) > 0"), "nodes")
-    edges: DataFrame | None = None
     labels: DataFrame | None = None
     whole: DataFrame | None = None  # the large buckets of one band, all members
     rows = nodes.select("key", F.explode("bands").alias("bucket"))
@@ -389,14 +394,14 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, compared: int = COM
             heads = _of(stars.select(F.col("head").alias("key")).distinct(), labels).withColumnsRenamed({"key": "head", "label": "head_label"})
             stars = _of(stars, labels).join(heads, "head").where("label != head_label")
         stars = stars.select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
-        edges, labels = _with(linked(likely(stars, nodes, least), texts, least), edges, labels)
+        labels = _with(linked(likely(stars, nodes, least), texts, least), labels)
         classed = _of(held, labels)
         # comparisons between classes: all pairs less those inside a class
         counted = classed.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("classes"))
         mixed = counted.where("classes > 1").select("bucket", ((F.col("n") > MEMBERS) | ((F.col("n") * F.col("n") - F.col("same")) / 2 > compared)).alias("large"))
         open_ = written(classed.join(mixed, "bucket").select("bucket", "key", "label", "large"), "open")
         forget(held)
-        edges, labels = _settled(open_.where("not large"), nodes, texts, edges, labels, least)
+        labels = _settled(open_.where("not large"), nodes, texts, labels, least)
         large = open_.where("large").select("key", "bucket")
         if not depth and not large.isEmpty():
             whole = written(large, "large")
@@ -408,7 +413,7 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, compared: int = COM
         forget(open_)
     if whole is not None:
         blocks = written(_blocks(_of(whole, labels), compared), "blocks")
-        edges, labels = _settled(blocks, nodes, texts, edges, labels, least)
+        labels = _settled(blocks, nodes, texts, labels, least)
         forget(blocks)
         forget(whole)
     named = _of(signed.select("doc_id", "key"), labels)
@@ -430,42 +435,57 @@ def _blocks(classed: DataFrame, compared: int) -> DataFrame:
     return each.select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), "key", "label")
 
 
-def _settled(now: DataFrame, nodes: DataFrame, texts: DataFrame, edges: DataFrame | None, labels: DataFrame | None, least: float):
-    """The edges and labels after the members of each bucket of now(bucket, key, label) are compared."""
+def _settled(now: DataFrame, nodes: DataFrame, texts: DataFrame, labels: DataFrame | None, least: float):
+    """The labels after the members of each bucket of now(bucket, key, label) are compared."""
     near = written(across(now.join(nodes.select("key", "sketch"), "key"), least), "near")
     if not near.isEmpty():
         # equal sets of members are compared once
         sets = near.join(texts.select("key", "chars"), "key").groupBy("bucket").agg(F.bit_xor(F.xxhash64("key")).alias("set"), F.count("*").alias("n"), F.sum("chars").alias("chars"))
         sets = written(sets.groupBy("set", "n", "chars").agg(F.min("bucket").alias("bucket")), "sets")
         light = near.join(sets.where(F.col("chars") <= HELD).select("bucket"), "bucket", "left_semi")
-        edges, labels = _with(joined(light.join(texts, "key"), least), edges, labels)
+        labels = _with(joined(light.join(texts, "key"), least), labels)
         long = sets.where(F.col("chars") > HELD)
         if not long.isEmpty():
             rest = near.drop("label").join(long.select("bucket"), "bucket", "left_semi")
-            edges, labels = _with(linked(across_pairs(_of(rest, labels), least), texts, least), edges, labels)
+            labels = _with(linked(across_pairs(_of(rest, labels), least), texts, least), labels)
         forget(sets)
     forget(near)
-    return edges, labels
+    return labels
 
 
-def _with(links: DataFrame, edges: DataFrame | None, labels: DataFrame | None):
-    """The edges and labels with more links."""
-    found = written(links, "edges")
+def _with(links: DataFrame, labels: DataFrame | None):
+    """The labels after more links; only links between classes count, as links of their labels."""
+    between = _of(_of(links.withColumnRenamed("a", "key"), labels).select(F.col("label").alias("a"), F.col("b").alias("key")), labels).select("a", F.col("label").alias("b"))
+    found = written(between.where("a != b").distinct(), "edges")
     if found.isEmpty():
         forget(found)
-        return edges, labels
-    edges = found if edges is None else edges.union(found)
-    return edges, components(edges)
+        return labels
+    joined_ = components(found)
+    if labels is None:
+        new = joined_
+    else:
+        moved = labels.join(joined_.withColumnsRenamed({"key": "label", "label": "next"}), "label", "left").select("key", F.coalesce("next", "label").alias("label"))
+        new = written(moved.union(joined_.join(labels, "key", "left_anti").select("key", "label")), "labels")
+        forget(joined_)
+        forget(labels)
+    forget(found)
+    return new
 
 
 def representatives(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One row of each class: that of its least doc_id, all columns kept."""
-    kept = near_classes(docs, least).where("doc_id <=> class_id").groupBy("doc_id", "key").agg(F.count("*").alias("n"))
-    kept = written(kept.select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"), F.col("n").alias("kept_n")), "kept")
-    mine = [c for c in docs.columns if c.lower() not in ("kept_id", "kept_key", "kept_n")]
-    both = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]) & (F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))) == kept["kept_key"]))
-    once = both.where("kept_n = 1").select(*mine)
-    return once.unionByName(both.where("kept_n > 1").dropDuplicates(["kept_id", "kept_key"]).select(*mine))
+    """One row of each class: that of its least doc_id, all columns kept whatever
+    their names.  Of equal rows, and of rows of that doc_id and text, one stays;
+    null texts are empty; an empty table gives an empty result."""
+    there, mark = {c.lower() for c in docs.columns}, "_kept"
+    while any(c.startswith(mark) for c in there):
+        mark = "_" + mark
+    kid, key, n = (f"{mark}_{x}" for x in ("id", "key", "n"))
+    kept = near_classes(docs, least).where("doc_id <=> class_id").groupBy(F.col("doc_id").alias(kid), F.col("key").alias(key)).agg(F.count("*").alias(n))
+    kept = written(kept, "kept")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    both = docs.join(kept, docs["doc_id"].eqNullSafe(kept[kid]) & (F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")))) == kept[key]))
+    once = both.where(F.col(n) == 1).select(*own)
+    return once.unionByName(both.where(F.col(n) > 1).dropDuplicates([kid, key]).select(*own))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -216,12 +216,12 @@ def near_by_brute_force(texts):
     sets = []
     for t in texts:
         w = words(t)
-        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+        sets.append(Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter())
     label = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
             a, b = sets[i], sets[j]
-            if (texts[i] or "") == (texts[j] or "") or (a and b and len(a & b) >= 0.8 * len(a | b)):
+            if (texts[i] or "") == (texts[j] or "") or (a and b and (a & b).total() >= 0.8 * (a | b).total()):
                 old, new = max(label[i], label[j]), min(label[i], label[j])
                 label = [new if x == old else x for x in label]
     return label
@@ -241,6 +241,8 @@ def test_near_classes_against_brute_force(spark, compared):
             other[rng.randrange(len(other))] = word()
             texts.append(" ".join(other))
     texts += [common + " " + " ".join(word() for _ in range(15)) for _ in range(60)]
+    refrain = " ".join(word() for _ in range(12))
+    texts += [" ".join([common] + [refrain] * n) for n in (0, 1, 2, 3, 8, 9, 10, 40)]  # alike as sets of shingles, not by how often they occur
     got = {r.doc_id: r.class_id for r in op6_dedup.near_classes(documents(spark, texts), compared=compared).collect()}
     assert [got[i] for i in range(len(texts))] == near_by_brute_force(texts)
 
@@ -255,9 +257,9 @@ def test_large_bucket_keeps_links_of_one_band(spark):
     a = [f"w{rng.randrange(10**6)}" for _ in range(100)]
     b, c = list(a), list(a)
     b[40:46] = [f"n{i}" for i in range(6)]
-    rng = random.Random(133)
+    rng = random.Random(0)
     for at in [rng.randrange(94) for _ in range(3)]:
-        c[at : at + 6] = [f"c133.{i}" for i in range(6)]
+        c[at : at + 6] = [f"c0x{at}x{i}" for i in range(6)]
     texts = [" ".join(x) for x in (a, b, c)]
     bands = [set(op6_dedup.signature(t)[0]) for t in texts]
     # the like texts share one band only, whose bucket's head is unlike both
@@ -267,6 +269,12 @@ def test_large_bucket_keeps_links_of_one_band(spark):
     assert got == {0: 0, 1: 0, 2: 2}
 
 
+def test_representatives_keep_all_columns(spark):
+    docs = spark.createDataFrame([(i, t, 1, "a", 2.0) for i, t in enumerate(["a b c d e f"] * 3 + ["other", None, None])] + [(0, "a b c d e f", 1, "a", 2.0)], "doc_id long, text string, kept_n int, Kept_Key string, _kept_id double")
+    got = op6_dedup.representatives(docs)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [0, 3, 4]
+
+
 def test_darts_estimate_weighted_similarity():
     rng = np.random.default_rng(5)
     elements = rng.integers(1, 2**62, 400).astype(np.uint64)
