@@ -4,6 +4,7 @@ import html
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -315,6 +316,63 @@ def test_secret_in_parts():
     assert op7_secrets.scan('secret = "ab1Z"\nsecret = "9xQw"\n') == []
 
 
+CASES = [
+    ('password: """q7Rt9Zx\nK2Lm4"""', ["q7Rt9Zx\nK2Lm4"]),
+    ("<password>q7Rt9ZxK2</password>", ["q7Rt9ZxK2"]),
+    ("url = postgres://bob:q7Rt9ZxK2@db/x", ["q7Rt9ZxK2"]),
+    ('<add key="DbPassword" value="q7Rt9ZxK2"/>', ["q7Rt9ZxK2"]),
+    ('{"secret": {"value": "q7Rt9ZxK2p"}, "other": {"value": "q7Rt9ZxK2p"}}', ["q7Rt9ZxK2p"]),
+    ("db:\n  credentials:\n    value: q7Rt9ZxK2p\n  host: abc123def456\nvalue: q7Rt9ZxK2p\n", ["q7Rt9ZxK2p"]),
+    ("private_key: |\n  MIIEabc123+/xyz\n  QWErty987\nnext: 12345678abcX\n", ["MIIEabc123+/xyz\n  QWErty987"]),
+    ('client_secret = ("q7Rt"  # one half\n   "9ZxK2p")\n', ["q7Rt", "9ZxK2p"]),
+    ('setPassword("q7Rt9ZxK2p")', ["q7Rt9ZxK2p"]),
+    ("mysql --password q7Rt9ZxK2p -u bob", ["q7Rt9ZxK2p"]),
+    ("/* don't: */ api_token => 'q7Rt9ZxK2p'", ["q7Rt9ZxK2p"]),
+    ("Authorization: Bearer q7Rt9ZxK2pAbc", ["q7Rt9ZxK2pAbc"]),
+    ('const x = "q7Rt9ZxK2p";\nfunction f() { const x = "zzQQ11zzQQ"; }\nlet secret = x;', ["q7Rt9ZxK2p"]),
+    ('dsn = "Server=x;Pwd=q7Rt9ZxK2p;"', ["q7Rt9ZxK2p"]),
+    ('x = "{\\"auth_key\\": \\"q7Rt9ZxK2\\"}"', ["q7Rt9ZxK2"]),
+    ('cfg["auth_token"] = b64decode("q7Rt9ZxK2p")', ["q7Rt9ZxK2p"]),
+    ('pwd: str = `q7Rt9ZxK2p`', ["q7Rt9ZxK2p"]),
+    ('tokens = ["q7Rt9ZxK2p", "Ab12Cd34Ef"]', ["q7Rt9ZxK2p", "Ab12Cd34Ef"]),
+    ("passphrase = userPassphrase", []),
+    ('pwd = getpass.getpass("Enter it 12345: ")', []),
+    ("the token of the day: it is a long sentence", []),
+    ('if (pwd == "q7Rt9ZxK2p") {}', []),
+]
+
+
+@pytest.mark.parametrize("text, want", CASES)
+def test_secret_syntax(text, want):
+    assert [text[i:j] for i, j in op7_secrets.lexed_spans(text)] == want
+
+
+def test_secrets_in_generated_sources():
+    """The generator knows which literals belong to sensitive names; it is the brute-force version."""
+    rng = random.Random(6)
+    literal = lambda: "".join(rng.sample("abcdefghkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", 14)) + "7aB"
+    forms = ['{n} = "{v}"', "{n}: '{v}'", 'const {n} = `{v}`;', '  "{n}": "{v}",', "export {n}={v}", "<{n}>{v}</{n}>", '<p name="{n}" value="{v}"/>', '{n} := "{a}" + "{b}"', 'set_{n}("{v}")', "tool --{n} {v}", '# {n} = "{v}"', '{n} = (\n  "{a}"\n  "{b}"\n)', "{k} = '{v}'\n{n} = {k}", 'obj["{n}"] = """{v}"""']
+    hot, cold = ["client_pwd", "authToken", "encryptionKey", "bearer", "db_passphrase", "signing_key"], ["colour", "build_hash", "userName", "checksum", "monkey", "keyboard"]
+    for _ in range(200):
+        lines, want = [], []
+        for i in range(rng.randrange(1, 12)):
+            name, v, form = rng.choice(hot + cold), literal(), rng.choice(forms)
+            lines.append(form.format(n=name, v=v, a=v[:8], b=v[8:], k=f"part{i}"))
+            if name in hot:
+                want += [v] if "{v}" in form else [v[:8], v[8:]]
+            lines.append(rng.choice(["", "don't stop: here", "x = y + 1  // it's fine", "Some words, and (more) of them."]))
+        text = "\n".join(lines)
+        assert [text[i:j] for i, j in op7_secrets.lexed_spans(text)] == want, text
+        assert not any(v in op7_secrets.redact(text) for v in want)
+
+
+@pytest.mark.parametrize("junk", ['\"\"\"' * 20001, "<a b " * 20000, "a." * 50000 + "token=", "{" * 50000 + "token", "`" * 20001 + "token=", "x" * 100000 + " token:", "token:\n" * 30000, "<token>" * 20000, '\\"' * 30000 + "token=", 'token = token + "ab"\n' * 20000])
+def test_secret_lexer_time_is_in_proportion(junk):
+    began = time.process_time()
+    op7_secrets.scan(junk)
+    assert time.process_time() - began < 5
+
+
 def test_secret_quick_test_knows_every_weighted_name():
     for name in [*op7_secrets.WEIGHTS, *map("_".join, op7_secrets.PAIRS)]:
         assert any(s in name for s in op7_secrets.STEMS), name
