@@ -464,7 +464,7 @@ def _with(links: DataFrame, labels: DataFrame | None):
     if labels is None:
         new = joined_
     else:
-        moved = labels.join(joined_.withColumnsRenamed({"key": "label", "label": "next"}), "label", "left").select("key", F.coalesce("next", "label").alias("label"))
+        moved = labels.join(joined_.select(F.col("key").alias("label"), F.col("label").alias("next")), "label", "left").select("key", F.coalesce("next", "label").alias("label"))
         new = written(moved.union(joined_.join(labels, "key", "left_anti").select("key", "label")), "labels")
         forget(joined_)
         forget(labels)

@@ -248,6 +248,21 @@ def test_near_classes_against_brute_force(spark, compared):
     assert [got[i] for i in range(len(texts))] == near_by_brute_force(texts)
 
 
+def test_labels_follow_more_links(spark):
+    rng = random.Random(3)
+    known, every = None, []
+    for _ in range(4):
+        links = [(bytes([a]), bytes([b])) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(9)) if a != b]
+        every += links
+        known = op6_dedup._with(spark.createDataFrame(links, "a binary, b binary"), known)
+        label = {x: x for x in range(60)}
+        for _ in every:
+            for a, b in every:
+                label[a[0]] = label[b[0]] = min(label[a[0]], label[b[0]])
+        got = {r.key[0]: r.label[0] for r in known.collect()}
+        assert all(got.get(x, x) == label[x] for x in label)
+
+
 def test_rare_languages_are_sampled(spark):
     docs = spark.range(600).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"), F.format_string("l%03d", "id").alias("lang"))
     assert len({r.lang for r in op1_langid.sampled(docs)}) == 600
