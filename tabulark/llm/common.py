@@ -8,10 +8,15 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of strings that a Python worker turns into its own objects at a time.
+SLICE = 4_000_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
@@ -53,6 +58,19 @@ def remainder(doc_id, n: int):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
+def slices(batch: pa.RecordBatch, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, in order, about limit bytes of strings at a time (a longer row alone)."""
+    size = np.full(batch.num_rows, 16, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def by_batch(df: DataFrame, each: Callable[..., dict], schema: str, setup: Callable[[], object] | None = None) -> DataFrame:
     """mapInArrow with columns as Python lists.
 
@@ -66,8 +84,8 @@ def by_batch(df: DataFrame, each: Callable[..., dict], schema: str, setup: Calla
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in slices(whole):
                 got = each({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}, state)
                 yield pa.RecordBatch.from_arrays([pa.array(got[n], kinds[k]) for n, k in arrow], [n for n, _ in arrow])
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, remainder
+from .common import by_batch, remainder, slices
 
 BITS, LENGTHS = 15, (1, 2, 3, 4)
 #: Labelled texts of a language that are sampled at most (as expected by hash), landmarks, ridge.
@@ -180,7 +180,7 @@ def known_only(docs: DataFrame, model: Model | None, least: float = 0.1) -> Data
 
     def run(batches):
         state = shared.value and (*shared.value.unpacked(), shared.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             _, score = _judged(batch.column(at).to_pylist(), state)
             yield batch.filter(pa.array([x >= least for x in score]))
 

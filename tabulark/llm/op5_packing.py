@@ -32,7 +32,7 @@ CAPACITY, END_ID = 4096, 1
 SMALL, GROUPS, ROWS = 8, 24, 500
 #: Words whose ids a worker keeps from task to task (twice as many, half of them older); characters of texts whose new
 #: words are learned together.
-CACHE, TOGETHER = 500_000, 1_000_000
+CACHE, TOGETHER = 250_000, 1_000_000
 #: Letters that are their own NFC form and have one lower case; what else than they, ASCII, spaces and line ends is odd.
 LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
 ODD = re.compile(f"[^ \\n!-~{LETTERS}]|<\\|")

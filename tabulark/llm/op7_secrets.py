@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_batch
+from .common import by_batch, slices
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -465,7 +465,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             old = batch.column(at).to_pylist()
             new = [redact(t) for t in old]
             if new != old:
