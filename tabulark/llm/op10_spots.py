@@ -24,7 +24,8 @@ ANCHORS = (
     "le la les un une du de des et est que qui dans pour par sur pas au avec en ce "
     "el los las y se del al con para por su no lo como más o"
 ).split()
-#: Rows of a range of ids that one window handles; ranges at most.
+#: Rows of a range of ids that one window handles; ranges at most (their ends are in the plan: beyond ROWS x RANGES rows ranges
+#: grow, and a window that does not fit in memory spills).
 ROWS, RANGES = 128, 65536
 
 
@@ -109,33 +110,40 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Pairs (a, b, likeness) of doc_id whose signatures are at least threshold alike.
-
-    Documents of equal signature are one class, named by its least doc_id; pairs
-    are those between classes, and the result's a = b rows tie members to classes
-    (member, class) through `signature_classes`.  A pair can only reach the
-    threshold if its shorter signature has threshold times the longer one's
-    length, so signatures meet only in their own length partition and the next,
-    and only on one of their rarest spots (a prefix of each sorted by frequency).
+    """Pairs (a, b, likeness), a < b, of classes whose signatures are at least threshold alike.
+
+    Documents of equal signature are one class, named by its least doc_id;
+    signature_classes() ties members to classes.  Rows without a doc_id have no
+    class; null and empty texts have the empty signature, which is like no other;
+    repeated rows are one; other columns are ignored; an empty table gives an
+    empty result; a likeness of just the threshold counts.
+
+    A pair can only reach the threshold if its shorter signature has threshold
+    times the longer one's length, so signatures meet only in their own length
+    partition and the next, and only on one of their rarest spots (a prefix of
+    each sorted by frequency); only pairs whose shared spots' places leave the threshold open are compared.
     """
-    classes = signature_classes(docs)
-    reps = classes.where("doc_id = class_id").dropDuplicates(["class_id"]).select("class_id", "spots")
+    reps = written(signature_classes(docs).where("doc_id = class_id and size(spots) > 0").groupBy("class_id").agg(F.first("spots").alias("spots")), "signatures")
     each = reps.select("class_id", F.explode("spots").alias("spot"))
     seen = each.groupBy("spot").agg(F.count("*").alias("df"))
     ranked = each.join(seen, "spot").groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("df", "spot"))).alias("by_df"))
     size = F.size("by_df")
     rare = ranked.select("class_id", size.alias("n"), F.floor(F.log(size.cast("double")) / -math.log(threshold) + 1e-9).cast("int").alias("part"), F.slice(F.col("by_df.spot"), 1, F.greatest(size - F.ceil(size * threshold - 1e-9).cast("int") + 1, F.lit(1))).alias("prefix"))
-    left = rare.select(F.col("class_id").alias("a"), F.col("n").alias("na"), "part", F.explode("prefix").alias("spot"))
-    right = rare.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part"), "prefix").select("b", "nb", "part", F.explode("prefix").alias("spot"))
-    can = left.join(right, ["part", "spot"]).where("a != b and least(na, nb) >= %r * greatest(na, nb) - 1e-9" % threshold)
-    can = can.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sets = reps.select(F.col("class_id"), "spots")
-    both = can.join(sets.withColumnsRenamed({"class_id": "a", "spots": "sa"}), "a").join(sets.withColumnsRenamed({"class_id": "b", "spots": "sb"}), "b")
+    rare = written(rare.select("class_id", "n", "part", F.posexplode("prefix").alias("at", "spot")), "prefixes")
+    left = rare.select(F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("at").alias("at_a"), "part", "spot")
+    right = rare.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("at_b"), F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part"), "spot")
+    shorter, longer = F.least("na", "nb"), F.greatest("na", "nb")
+    # the places of a shared spot bound what the two can share: those before it, and from it on
+    most = F.least("at_a", "at_b") + F.least(F.col("na") - F.col("at_a"), F.col("nb") - F.col("at_b"))
+    can = left.join(right, ["part", "spot"]).where(F.col("a") != F.col("b")).where(shorter >= threshold * longer - 1e-9)
+    can = can.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(most).alias("most"), F.first(F.col("na") + F.col("nb")).alias("both"))
+    can = can.where(F.col("most") >= threshold / (1 + threshold) * F.col("both") - 1e-9).select("a", "b")
+    both = can.join(reps.select(F.col("class_id").alias("a"), F.col("spots").alias("sa")), "a").join(reps.select(F.col("class_id").alias("b"), F.col("spots").alias("sb")), "b")
     return both.select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("likeness")).where(F.col("likeness") >= threshold - 1e-9)
 
 
 def signature_classes(docs: DataFrame) -> DataFrame:
-    """Each document with spots and class_id, the least doc_id of equal signatures."""
+    """Each document with spots and class_id, the least doc_id of equal signatures (null only if all are)."""
     got = with_spots(docs.select("doc_id", "text"), "text", "spots").select("doc_id", "spots", F.sha2(F.array_join("spots", ","), 256).alias("sig"))
     got = written(got, "spots")  # else filters on spots would be pushed below and repeat their expressions
     least = got.groupBy("sig").agg(F.min("doc_id").alias("class_id"))

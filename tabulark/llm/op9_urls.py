@@ -21,6 +21,8 @@ from .common import written
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "com.br", "co.jp", "co.in", "com.cn", "co.nz", "co.za")
 #: Deviations below the mean at which the bound lies, and the bound over which a host is blocked.
 Z, LIMIT = 1.6449, 0.5
+#: Hosts whose reputation is broadcast at most; beyond, it is joined, each of them in so many parts.
+FEW, SALTS = 20_000, 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,12 +59,22 @@ def host_counts(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     outcomes(key, bad): bad is 0 or 1; the worst of several rows of a key counts.
     """
     worst = outcomes.where(F.col("key").isNotNull() & F.col("bad").isNotNull()).groupBy("key").agg(F.max("bad").alias("bad"))
-    tied = pages.join(worst, "key", "left")
+    # pages without a key meet no outcome: they stay out of the join, where all nulls would be one key
+    tied = pages.where("key is not null").join(worst, "key", "left").select("host", "bad")
+    tied = tied.unionByName(pages.where("key is null").select("host", F.lit(None).cast("int").alias("bad")))
     counted = tied.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("b"))
     domain, suffix = domain_of(F.col("host"))
     return counted.withColumns({"domain": domain, "suffix": suffix})
 
 
+def with_host(rows: DataFrame, per_host: DataFrame, by: str) -> DataFrame:
+    """rows with what per_host, a written table, says of their host; the rows of a large host stay spread."""
+    if per_host.count() <= FEW:
+        return rows.join(F.broadcast(per_host), "host", "left")
+    salts = per_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salts, ["host", "salt"], "left").drop("salt")
+
+
 def _strength(level: DataFrame, m: float) -> float:
     """Prior strength (alpha + beta) from the spread of groups (n, b) about m."""
     p = F.col("b") / F.col("n")
@@ -96,18 +108,19 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], key: Column,
     key: the column of a page that names its outcome (null: unlabelled).
     Null, malformed and repeated urls are judged like any other row: their
     host is empty, and such pages share one reputation.  An empty table gives
-    an empty result; extra columns of pages are ignored.
+    an empty result; extra columns of pages are ignored.  Urls of any length are
+    read whole; of several outcomes of a key the worst counts.
     """
     host, path = parse(F.col("url"))
     seen = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
     seen = seen.withColumn("key", key)
-    known = reputation(host_counts(seen.select("host", "key"), outcomes))
+    known = written(reputation(host_counts(seen.select("host", "key"), outcomes)), "reputation")
     rule = verdict = F.lit(None).cast("string")
     for r in sorted(rules, key=lambda r: len(r.where)):
         rule = F.when(r.fits(F.col("host"), F.col("path")), F.lit(r.where)).otherwise(rule)
         verdict = F.when(r.fits(F.col("host"), F.col("path")), F.lit(r.verdict)).otherwise(verdict)
     own = F.when(F.col("bound") > limit, F.lit("block")).otherwise(F.lit("allow"))
-    return seen.join(known, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.col("n").alias("host_labelled"), F.col("b").alias("host_bad"))
+    return with_host(seen, known, "page_id").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.col("n").alias("host_labelled"), F.col("b").alias("host_bad"))
 
 
 RULES = [Rule("block", "net/"), Rule("allow", "example.net/en/"), Rule("block", "example.com/de/"), Rule("allow", "org/fr/")]

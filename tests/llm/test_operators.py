@@ -477,6 +477,42 @@ def test_urls_edges(spark):
     assert got == {1: ("", "", None, "allow"), 2: ("", "", None, "allow"), 3: ("a.example.net", "/en/x", "example.net/en/", "allow"), 4: ("b.net", "", None, "allow"), 5: ("b.net", "/", "net/", "block")}
 
 
+def test_similar_pairs_against_brute_force(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("bcdfgklm") for _ in range(4))
+    texts = []
+    for _ in range(25):
+        base = [word() for _ in range(rng.choice([4, 40, 160]))]
+        base = [x for w in base for x in (["the"] if rng.random() < 0.4 else []) + [w]]
+        for edits in (0, 0, 1, 3, 8):
+            other = list(base)
+            for _ in range(edits):
+                other[rng.randrange(len(other))] = word()
+            texts.append(" ".join(other))
+    texts += [None, "", "the the", "12 !"]
+    docs = documents(spark, texts).unionByName(documents(spark, texts[:3]))
+    classes = {r.doc_id: (r.class_id, frozenset(r.spots)) for r in op10_spots.signature_classes(docs).collect()}
+    sets = {c: spots for c, spots in classes.values() if spots}
+    assert all(classes[i][0] == min(j for j in classes if classes[j][1] == classes[i][1]) for i in classes)
+    want = {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    got = op10_spots.similar_pairs(docs).collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want) > 10
+    assert all(abs(r.likeness - len(sets[r.a] & sets[r.b]) / len(sets[r.a] | sets[r.b])) < 1e-12 for r in got)
+    assert op10_spots.similar_pairs(docs.limit(0)).count() == 0
+
+
+def test_urls_odd_tables(spark, monkeypatch):
+    pages = spark.createDataFrame([(i % 7, f"http://h{i % 3}.org/{i}", 1, "x", 5) for i in range(30)] + [(None, None, 1, "x", 5)] * 2, "page_id long, url string, host int, key string, bad int")
+    outcomes = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(30)] + [(None, 1), (3, None), (4, 1)], "key long, bad int")
+    number = F.regexp_extract("path", "/([0-9]+)$", 1).try_cast("long")
+    whole = sorted(rows(op9_urls.judge(pages, outcomes, op9_urls.RULES, number)), key=repr)
+    assert len(whole) == 32 and {r[1] for r in whole if r[4] == "block"} == {"h0.org"}
+    monkeypatch.setattr(op9_urls, "FEW", 0)
+    assert sorted(rows(op9_urls.judge(pages, outcomes, op9_urls.RULES, number)), key=repr) == whole
+    assert op9_urls.judge(pages.limit(0), outcomes, op9_urls.RULES, number).count() == 0
+    assert op9_urls.judge(pages, outcomes.limit(0), op9_urls.RULES, number).where("verdict = 'block'").count() == 0
+
+
 def test_reputation_blocks_bad_hosts(spark):
     pages = spark.createDataFrame([(i, f"http://{'bad' if i % 2 else 'ok'}.site{i % 6}.com/{i}") for i in range(600)], "page_id long, url string")
     outcomes = spark.createDataFrame([(i, i % 2) for i in range(600)], "key long, bad int")
