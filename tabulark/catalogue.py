@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +14,7 @@ from .operators import changes as C
 from .operators import relational as R
 from .plans import stats as S
 from .plans.query import Query
-from .sources.tables import literal, scan
+from .sources.tables import literal, scan, work_dir
 
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -31,6 +31,14 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return scan(spark, f"{sf}/{name}.parquet")
 
 
+def _engine(spark: SparkSession, sf: str, *tables: str) -> Engine:
+    """An engine with tables of its own, filled with the driver's."""
+    engine = Engine(spark, work_dir(spark, "catalogue"))
+    for name in tables:
+        engine.create(name, _t(spark, sf, name))
+    return engine
+
+
 def _filter(name: str, table: str, condition, sql: str) -> None:
     _QUERIES[name] = (lambda spark, sf: R.where(_t(spark, sf, table), *condition()), sql)
 
@@ -44,7 +52,13 @@ _filter("filter_le", "part", lambda: [R.compare("p_size", "<=", 10)], "select *
 _filter("filter_ge", "part", lambda: [R.compare("p_size", ">=", 40)], "select * from part where p_size >= 40")
 _filter("filter_between", "part", lambda: [R.compare("p_size", "between", 10, 20)], "select * from part where p_size between 10 and 20")
 _filter("filter_and", "part", lambda: [R.compare("p_size", ">", 10), R.compare("p_size", "<", 20)], "select * from part where p_size > 10 and p_size < 20")
-_filter("scan_index_eq", "lineitem", lambda: [R.compare("l_orderkey", "=", 7)], "select * from lineitem where l_orderkey = 7")
+
+
+@_query("select * from lineitem where l_orderkey = 7")
+def scan_index_eq(spark, sf):
+    engine = _engine(spark, sf, "lineitem")
+    engine.execute("CREATE INDEX by_order ON lineitem (l_orderkey)")
+    return engine.execute("SELECT * FROM lineitem WHERE l_orderkey = 7").df
 
 
 @_query("select * from (select c_custkey, c_acctbal, c_acctbal > 0 as in_credit from customer) t where in_credit = true")
@@ -74,12 +88,14 @@ def distinct_sort_join(spark, sf):
 
 @_query("select n.n_nationkey as nation_n_nationkey, n.n_name as nation_n_name, r.r_name as region_r_name from nation n, region r where n.n_regionkey = r.r_regionkey")
 def join_comma(spark, sf):
-    return _nation_region(spark, sf)
+    got = _engine(spark, sf, "nation", "region").execute("SELECT * FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey").df
+    return got.select("nation_n_nationkey", "nation_n_name", "region_r_name")
 
 
 @_query(_NATION_REGION)
 def join_on(spark, sf):
-    return _nation_region(spark, sf)
+    got = _engine(spark, sf, "nation", "region").execute("SELECT * FROM nation JOIN region ON nation.n_regionkey = region.r_regionkey").df
+    return got.select("nation_n_nationkey", "nation_n_name", "region_r_name")
 
 
 @_query(_NATION_REGION)
@@ -108,6 +124,15 @@ def join_merge(spark, sf):
     return df.select("l_orderkey", "l_linenumber", "o_custkey")
 
 
+@_query("select o.o_orderkey, c.c_name from orders o join customer c on o.o_custkey = c.c_custkey")
+def join_presorted(spark, sf):
+    """Merge join of bucketed, sorted tables: no exchange."""
+    mark = uuid.uuid4().hex
+    orders = R.write_sorted(_t(spark, sf, "orders").select("o_orderkey", "o_custkey"), f"orders_{mark}", "o_custkey", 8)
+    customers = R.write_sorted(_t(spark, sf, "customer").select("c_custkey", "c_name"), f"customers_{mark}", "c_custkey", 8)
+    return R.join_presorted(orders, customers, [("o_custkey", "c_custkey")]).select("o_orderkey", "c_name")
+
+
 @_query("select c.c_custkey, s.s_suppkey from customer c join supplier s on c.c_nationkey = s.s_nationkey")
 def join_many_many(spark, sf):
     return R.join(_t(spark, sf, "customer"), _t(spark, sf, "supplier"), [("c_nationkey", "s_nationkey")]).select("c_custkey", "s_suppkey")
@@ -150,32 +175,45 @@ def except_all(spark, sf):
 
 @_query("select r_regionkey, r_name from region union all select 99 as r_regionkey, 'ATLANTIS' as r_name")
 def dml_insert(spark, sf):
-    return C.inserted(_t(spark, sf, "region"), literal(spark, [(99, "ATLANTIS")], "k int, n string"))
+    engine = _engine(spark, sf, "region")
+    engine.execute("INSERT INTO region VALUES (99, 'ATLANTIS')")
+    return engine.table("region")
 
 
 @_query("select r_regionkey, case when r_name='ASIA' then 'APAC' else r_name end as r_name from region")
 def dml_update(spark, sf):
-    return C.updated(_t(spark, sf, "region"), {"r_name": F.lit("APAC")}, R.compare("r_name", "=", "ASIA"))
+    engine = _engine(spark, sf, "region")
+    engine.execute("UPDATE region SET r_name = 'APAC' WHERE r_name = 'ASIA'")
+    return engine.table("region")
 
 
 @_query("select r_regionkey, 'NOWHERE' as r_name from region")
 def dml_update_all(spark, sf):
-    return C.updated(_t(spark, sf, "region"), {"r_name": F.lit("NOWHERE")})
+    engine = _engine(spark, sf, "region")
+    engine.execute("UPDATE region SET r_name = 'NOWHERE'")
+    return engine.table("region")
 
 
 @_query("select * from orders where not (o_orderstatus = 'F')")
 def dml_delete(spark, sf):
-    return C.deleted(_t(spark, sf, "orders"), R.compare("o_orderstatus", "=", "F"))
+    engine = _engine(spark, sf, "orders")
+    engine.execute("DELETE FROM orders WHERE o_orderstatus = 'F'")
+    return engine.table("orders")
 
 
 @_query("select * from part where not (p_size between 10 and 20)")
 def dml_delete_between(spark, sf):
-    return C.deleted(_t(spark, sf, "part"), R.compare("p_size", "between", 10, 20))
+    engine = _engine(spark, sf, "part")
+    engine.execute("DELETE FROM part WHERE p_size BETWEEN 10 AND 20")
+    return engine.table("part")
 
 
 @_query("select * from orders where not (o_custkey = 42)")
 def dml_delete_eq(spark, sf):
-    return C.deleted(_t(spark, sf, "orders"), R.compare("o_custkey", "=", 42))
+    engine = _engine(spark, sf, "orders")
+    engine.execute("CREATE INDEX by_customer ON orders (o_custkey)")
+    engine.execute("DELETE FROM orders WHERE o_custkey = 42")
+    return engine.table("orders")
 
 
 @_query("select n_nationkey, rpad(n_name, 7, ' ') as n_name from nation")
@@ -208,6 +246,27 @@ def hash_bucket(spark, sf):
     return _t(spark, sf, "orders").groupBy(bucket_of(hash_key(F.col("o_custkey"), "INT"), 3, 7).alias("bucket")).agg(F.count("*").alias("entries"))
 
 
+@_query("select case when h & 7 > 5 then (h & 7) - 4 else h & 7 end as bucket, count(*) as entries from (select o_custkey & 2147483647 as h from orders) t group by 1")
+def hash_bucket_fold(spark, sf):
+    return _t(spark, sf, "orders").groupBy(bucket_of(hash_key(F.col("o_custkey"), "INT"), 3, 5).alias("bucket")).agg(F.count("*").alias("entries"))
+
+
+@_query("select hash, case when hash & 7 > 5 then (hash & 7) - 4 else hash & 7 end as bucket, count(*) as entries from (select list_reduce(list_prepend(0::bigint, list_transform(string_split(trim(c_name), ''), lambda c: unicode(c)::bigint)), lambda a, b: (a * 31 + b) % 4294967296) & 2147483647 as hash from customer) t group by 1, 2")
+def hash_bucket_char(spark, sf):
+    hashed = _t(spark, sf, "customer").select(hash_key(F.col("c_name"), "CHAR").alias("hash"))
+    return hashed.groupBy("hash", bucket_of(F.col("hash"), 3, 5).alias("bucket")).agg(F.count("*").alias("entries"))
+
+
+@_query("select c_custkey, c_mktsegment as segment from customer where c_mktsegment = 'BUILDING'")
+def select_derived_char(spark, sf):
+    """CHAR columns keep their comparison through a derived table."""
+    engine = Engine(spark, work_dir(spark, "catalogue"))
+    engine.execute("CREATE TABLE customer (c_custkey BIGINT, c_mktsegment CHAR(20))")
+    engine.load("customer", _t(spark, sf, "customer").select("c_custkey", "c_mktsegment"))
+    got = engine.execute("SELECT * FROM (SELECT c_custkey, c_mktsegment AS segment FROM customer) q WHERE q.segment = 'BUILDING'").df
+    return got.select("c_custkey", F.rtrim("segment").alias("segment"))
+
+
 @_query("select * from (values (1, 'a'), (2, 'b')) as t(id, name)")
 def src_literal(spark, sf):
     return literal(spark, [(1, "a"), (2, "b")], "id int, name string")
@@ -226,11 +285,7 @@ def sort_by_column(spark, sf):
 @_query(None)
 def explain_trace(spark, sf):
     """The decisions for a join with a filter and distinct, a line a row."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    engine = Engine(spark, f"{where}/explain-{spark.sparkContext.applicationId}-{abs(hash(sf))}")
-    for t in ("nations", "regions"):
-        if engine.catalog.table(t):
-            engine.execute(f"drop table {t}")
+    engine = Engine(spark, work_dir(spark, "catalogue"))
     engine.execute("create table nations (id int, name char(25), region int)")
     engine.execute("create table regions (id int, name char(25))")
     engine.load("nations", _t(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey"))

@@ -11,17 +11,27 @@ def char_fit(value: Column, n: int) -> Column:
     return F.rpad(value, n, " ")
 
 
-def char_equal(value: Column, literal: str, n: int) -> Column:
-    """Equality of a CHAR(n) column and a literal, both fitted to n first.
+def char_equal(value: Column, literal: str, n: int, stored: bool = False) -> Column:
+    """Equality of a CHAR(n) value and a literal, both fitted to n first.
 
-    The literal is fitted once here, so the comparison's column side stays
-    bare where it is a stored CHAR(n) value and can be pushed to the scan.
+    A stored CHAR(n) column has its length already: it stays bare, so that the
+    comparison is pushed to the scan.
     """
-    return char_fit(value, n) == F.lit(literal[:n].ljust(n))
+    return (value if stored else char_fit(value, n)) == F.lit(literal[:n].ljust(n))
+
+
+def char_hash(value: Column) -> Column:
+    """The index hash of a CHAR value without the spaces around it: the 31-fold
+    polynomial of its characters in 32 bits, the sign bit cleared."""
+    codes = F.transform(F.filter(F.split(F.trim(value), ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    folded = F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: (h * 31 + c).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return folded.bitwiseAND(F.lit(0x7FFFFFFF))
 
 
 def hash_key(value: Column, kind: str) -> Column:
-    """The index hash of an INT or BOOLEAN value, never negative."""
+    """The index hash of an INT, BOOLEAN or CHAR value, never negative."""
+    if kind == "CHAR":
+        return char_hash(value)
     if kind == "BOOLEAN":
         return value.cast("int")
     return value.bitwiseAND(F.lit(0x7FFFFFFF))

@@ -121,3 +121,16 @@ def subtract_counting(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of a, less one for each equal row of b."""
     _same_shape(a, b)
     return a.exceptAll(b)
+
+
+def write_sorted(df: DataFrame, table: str, column: str, buckets: int) -> DataFrame:
+    """df as a table in buckets of a column, one sorted file each: joins of two
+    such tables on their columns, with as many buckets, need no shuffle, and each
+    task sorts rows that are in order already (Spark does not rely on it)."""
+    df.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column).mode("overwrite").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def join_presorted(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
+    """Merge join of two tables of write_sorted(), which are read in their buckets."""
+    return join(left, right, keys, "merge")

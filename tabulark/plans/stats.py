@@ -46,14 +46,15 @@ class Histogram:
         return self.counts[self._at(v)] / self.width / self.total if self.total else 0.0
 
     def between(self, a: int, b: int) -> float:
-        """Share of rows from a to b, each bucket by its overlap."""
+        """Share of rows from a to b, each bucket by its overlap; the last one ends at the highest value."""
         if not self.total or a > b:
             return 0.0
         part = 0.0
         for i, n in enumerate(self.counts):
             start = self.low + i * self.width
-            overlap = min(b, start + self.width - 1) - max(a, start) + 1
-            part += n * max(0, overlap) / self.width
+            end = min(start + self.width - 1, self.high)
+            if start <= end:
+                part += n * max(0, min(b, end) - max(a, start) + 1) / (end - start + 1)
         return min(1.0, part / self.total)
 
 
@@ -80,10 +81,10 @@ class TableStats:
 
 
 def collect(df: DataFrame, ints: list[str], others: list[str], buckets: int = 10) -> TableStats:
-    """Statistics in two passes: counts and ranges, then all histograms at once."""
+    """Statistics in two passes: counts, sketched distinct counts and ranges, then all histograms at once."""
     aggs = [F.count("*").alias("n")]
     for c in ints + others:
-        aggs.append(F.count_distinct(F.col(c)).alias(f"d_{c}"))
+        aggs.append(F.approx_count_distinct(F.col(c), 0.02).alias(f"d_{c}"))
     for c in ints:
         aggs += [F.min(c).alias(f"l_{c}"), F.max(c).alias(f"h_{c}")]
     one = df.agg(*aggs).first().asDict()

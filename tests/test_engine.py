@@ -1,9 +1,11 @@
 import duckdb
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tabulark import catalogue
 from tabulark.engine import Engine, EngineError
+from tabulark.functions.chars import hash_key
 from tabulark.operators import changes as C
 from tabulark.operators import relational as R
 from tabulark.plans import explain as X
@@ -101,8 +103,8 @@ def test_char(engine):
     "DROP TABLE nothing_here", "GRANT ALL", "SELECT * FROM employees WHERE zz.id = 1",
 ])
 def test_errors(engine, sql):
-    with pytest.raises(Exception):
-        engine.execute(sql).df.collect()
+    with pytest.raises((EngineError, AnalysisException)):
+        engine.execute(sql)
 
 
 def test_compat_bounds(spark, engine):
@@ -146,3 +148,103 @@ def test_explain(engine):
     got = engine.execute("SELECT DISTINCT * FROM employees e JOIN departments d ON e.id = d.id", explain=True).explain
     for part in ("=== Logical Plan ===", "[JOIN] e.id = d.id", "=== Query Optimizer Trace ===", "[JOIN] → BNLJoin", "[DISTINCT] → SortBasedDistinct", "=== Spark Plan ==="):
         assert part in got
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT * FROM (SELECT id, name FROM employees) q WHERE q.name = 'Alice'", "WITH q AS (SELECT id, name AS n FROM employees) SELECT * FROM q WHERE n = 'Alice'",
+    "SELECT * FROM employees WHERE name IN ('Alice', 'x')", "SELECT * FROM employees WHERE name BETWEEN 'Alice' AND 'Alicf'", "SELECT * FROM employees WHERE \"Alice\" = name",
+    "SELECT id FROM (SELECT 1 AS id, 'Alice' AS name FROM departments) WHERE name = 'Alice'",
+])
+def test_char_through_queries(engine, sql):
+    assert [r.id for r in engine.execute(sql).df.collect()] == [1]
+
+
+def test_char_comparison_is_pushed_down(engine):
+    plan = engine.execute("SELECT * FROM employees WHERE name = 'Alice'").df._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(name,Alice     )" in plan
+
+
+def test_select_reads_by_index(engine):
+    for i in range(4, 9):
+        engine.execute(f"INSERT INTO employees VALUES ({i}, 'N{i}', {i * 1000}, TRUE)")
+    sql = "SELECT * FROM employees WHERE salary = 5000 AND active = TRUE"
+    files = lambda r: len(r.df.inputFiles())
+    assert files(engine.execute(sql)) == 6
+    engine.execute("CREATE INDEX by_salary ON employees (salary)")
+    engine.execute("CREATE INDEX by_name ON employees (name)")
+    got = engine.execute(sql)
+    assert files(got) == 1 and [r.id for r in got.df.collect()] == [5]
+    assert files(engine.execute("SELECT * FROM employees e WHERE e.name = 'N7'")) == 1
+    assert files(engine.execute("SELECT * FROM employees WHERE salary = 5000 OR id = 1")) == 6
+    assert [r.employees_id for r in engine.execute("SELECT * FROM employees, departments WHERE employees.salary = 75000 AND employees.id = departments.id").df.collect()] == [1]
+    assert engine.execute("SELECT * FROM employees WHERE salary = 123456").df.count() == 0
+
+
+def test_index_upkeep_and_compaction(engine):
+    engine.execute("CREATE INDEX by_salary ON employees (salary)")
+    for i in range(4, 24):
+        engine.execute(f"INSERT INTO employees VALUES ({i}, 'N', {i}, TRUE)")
+    index = engine.catalog.index("by_salary")
+    assert len(index.parts) <= 16 and all(engine.lookup("employees", "salary", i).count() == 1 for i in (4, 11, 23, 75000))
+    before = rows(engine.table("employees"))
+    assert engine.compact("employees") == 1 and len(index.parts) == 1
+    engine.vacuum("employees")
+    again = Engine(engine.spark, engine.catalog.root)
+    assert rows(again.table("employees")) == before and again.lookup("employees", "salary", 11).count() == 1
+
+
+def test_second_writer_is_refused(engine):
+    other = Engine(engine.spark, engine.catalog.root)
+    engine.execute("INSERT INTO departments VALUES (2, 'Tech')")
+    with pytest.raises(EngineError):
+        other.execute("INSERT INTO departments VALUES (3, 'Lost')")
+    assert rows(other.table("departments")) == rows(engine.table("departments")) == [(1, "Sales "), (2, "Tech  ")]
+    other.execute("INSERT INTO departments VALUES (3, 'Kept')")
+    assert Engine(engine.spark, engine.catalog.root).table("departments").count() == 3
+
+
+def test_messages_counters_and_places(engine):
+    got = engine.execute("SELECT * FROM employees WHERE id > 1", counters=True)
+    assert got.message == "2 row(s) returned." and "| id|" in engine.execute("SELECT id FROM employees").text().replace("|id ", "| id")
+    assert got.counters == {"employees": 3, "output": 2}
+    place = engine.row_ids("employees").where("id = 3").first()
+    assert rows(engine.fetch("employees", place.row_file, place.row_number).select("id")) == [(3,)]
+    engine.execute("DELETE FROM employees WHERE id = 3")
+    assert engine.fetch("employees", place.row_file, place.row_number).count() == 0
+    lines = engine.execute("EXPLAIN SELECT * FROM employees WHERE id = 1").df.collect()
+    assert any("SelectLinear(employees)" in r.plan for r in lines)
+
+
+def test_catalog_lists(engine):
+    engine.execute("CREATE INDEX by_salary ON employees (salary)")
+    engine.create_spatial_index("place", "employees", ["id", "salary"])
+    assert engine.tables() == ["departments", "employees"] and engine.describe("departments") == [("id", "INT", 0), ("dname", "CHAR", 6)]
+    assert engine.indexes() == [("by_salary", "employees", ("salary",), "LINEAR_HASH"), ("place", "employees", ("id", "salary"), "RTREE")]
+    assert engine.catalog.find_spatial("employees").name == "place" and engine.catalog.find_index("employees", "id") is None
+    for columns in (["id"], ["id", "ID"], ["id", "nope"]):
+        with pytest.raises(EngineError):
+            engine.create_spatial_index("bad", "employees", columns)
+    engine.execute("INSERT INTO employees VALUES (9, 'Z', 1, TRUE)")
+    with engine as e:
+        e.execute("SELECT * FROM employees")
+    assert not engine.spark.catalog.tableExists("employees")
+
+
+def test_histogram_ends_at_the_highest_value():
+    h = Histogram(0, 10, [3, 3, 3, 2])  # width 3: the last bucket is 9 to 10
+    assert h.width == 3 and h.between(9, 10) == 2 / 11 and h.between(10, 10) == 1 / 11 and h.between(0, 10) == 1.0
+
+
+def test_char_hash(spark):
+    texts = ["", "a", "  Alice  ", "Grüße", "a longer text that leaves 32 bits"]
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    for t, r in zip(texts, df.select(hash_key(F.col("c"), "CHAR").alias("h")).collect()):
+        h = 0
+        for c in t.strip():
+            h = (h * 31 + ord(c)) & 0xFFFFFFFF
+        assert r.h == h & 0x7FFFFFFF
+
+
+def test_presorted_join_has_no_exchange(spark):
+    plan = catalogue.queries()["join_presorted"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and plan.count("Bucketed: true") == 2, plan
