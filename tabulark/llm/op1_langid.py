@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from .common import by_batch, remainder, slices
 
 BITS, LENGTHS = 15, (1, 2, 3, 4)
-#: Labelled texts of a language that are sampled at most (as expected by hash), landmarks, ridge.
-PER_LANGUAGE, LANDMARKS, RIDGE = 600, 128, 1e-3
+#: Labelled texts of a language and of all together that are sampled at most (as expected by hash; of each language one at
+#: least), landmarks, ridge.
+PER_LANGUAGE, TRAINED, LANDMARKS, RIDGE = 600, 24_000, 128, 1e-3
 #: Texts of a matrix product.
 BATCH = 64
 UNKNOWN = "und"
@@ -79,6 +80,7 @@ def sampled(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list:
     languages = counted.count()
     if not languages:
         return []
+    per_language = max(1, min(per_language, TRAINED // languages))
     share = counted.select("lang", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n")).alias("share"))
     some = labelled.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003 < F.col("share")).select("lang", "text")
 

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import by_batch, remainder
 
-#: Labelled documents in the sample that is fitted to, as expected by hash, for each label.
-PER_LABEL = 1500
+#: Labelled documents in the sample that is fitted to, as expected by hash, for each label; their characters at most.
+PER_LABEL, LEARNED = 1500, 50_000
 ROUNDS, STEPS, DECAY = 3, 120, 1e-4
 THRESHOLD = 0.3
 #: Characters whose features are computed together.
@@ -252,8 +252,11 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model | None:
     """A model from documents (doc_id, text) with labels (doc_id, quality).
 
-    A sample of about per_label documents of each label, spread by hash, comes
-    to the driver.  The documents' share of each label in all labels is kept by
+    A sample of about per_label documents of each label, spread by hash and
+    none longer than LEARNED, comes to the driver (every document is scored
+    whole).  Null and other labels than 0 and 1 do not count, of several labels
+    of a document the higher does, null texts are left out; without documents of
+    both labels there is no model.  The documents' share of each label in all labels is kept by
     the calibration's base, which weighs the sample back.
     """
     known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -263,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
         share = F.when(F.col("quality") == q, min(1.0, per_label / n)).otherwise(share)
     some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003 < share)
     some = F.broadcast(some.limit(4 * per_label))  # bounded by the parameter: no text is shuffled for it
-    rows = docs.select("doc_id", "text").join(some, "doc_id").where("text is not null").select("doc_id", "text", "quality").limit(4 * per_label).collect()
+    rows = docs.select("doc_id", "text").join(some, "doc_id").where(F.length("text") <= LEARNED).select("doc_id", "text", "quality").limit(4 * per_label).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
     model = train([r.text for r in rows], [int(r.quality) for r in rows])
     if model is None:

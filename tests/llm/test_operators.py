@@ -153,6 +153,112 @@ def test_forward_backward_against_enumeration():
         assert np.allclose(got[at], weight[1] / weight.sum(0))
 
 
+def test_language_scores_against_direct_kernels(spark):
+    """Scores by batched products equal kernel rows computed one by one from sets of n-grams."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = op1_langid.fit(op1_langid.training(docs), landmarks=16)
+    marks = [set(np.flatnonzero(np.unpackbits(m))) for m in model.landmarks]
+    texts = [r["text"] for r in table("documents")][:25] + EDGE
+    got = {r.doc_id: (r.lang_pred, r.score) for r in op1_langid.predict(documents(spark, texts), model).collect()}
+    for i, text in enumerate(texts):
+        flags = np.zeros(1 << op1_langid.BITS, np.uint8)
+        if not text or not op1_langid.presence(text, flags):
+            assert got[i] == ("und", 0.0)
+            continue
+        own = set(np.flatnonzero(flags))
+        kernel = np.array([len(own & m) / math.sqrt(len(own) * len(m)) for m in marks])
+        out = kernel @ model.weights
+        assert got[i][0] == model.languages[int(out.argmax())] and abs(got[i][1] - min(max(out.max(), 0), 1)) < 1e-4
+    grams = set()
+    padded = " ab c "
+    for n in op1_langid.LENGTHS:
+        grams |= {padded[j : j + n] for j in range(len(padded) - n + 1)}
+    flags = np.zeros(1 << op1_langid.BITS, np.uint8)
+    op1_langid.presence("aB c", flags)
+    assert flags.sum() == len(grams)
+
+
+def test_quality_score_against_enumeration():
+    rng = np.random.default_rng(2)
+    texts = ["Some good line here.\nAnd one more of it.\nThe end.", "!!!! ### $$$\nBUY BUY BUY 111\n\nok", "single"] + ["A line %d.\nx" % i for i in range(3)] + ["$$ %d !!\n$$" % i for i in range(3)]
+    model = op3_quality.train(texts, [1, 0, 1, 1, 1, 1, 0, 0, 0])
+    raw, score = model.quality(texts)
+    for i, text in enumerate(texts):
+        lines, doc, repeated = op3_quality.lines_of([text])
+        unary = op3_quality.chained((op3_quality.own_features(lines, repeated) - model.mean) / model.scale, doc) @ model.weights + model.bias
+        weight = np.zeros((2, len(lines)))
+        for k in range(2 ** len(lines)):
+            y = [(k >> j) & 1 for j in range(len(lines))]
+            p = math.exp(sum(unary[j] * v for j, v in enumerate(y)) + sum(model.trans[a, b] for a, b in zip(y, y[1:])))
+            for j, v in enumerate(y):
+                weight[v, j] += p
+        size = np.array([len(x) for x in lines], float)
+        good = float((weight[0] / weight.sum(0) * size).sum() / size.sum())
+        a, b = model.calibration
+        assert abs(raw[i] - good) < 1e-4 and abs(score[i] - 1 / (1 + math.exp(-(a * math.log(good / (1 - good)) + b)))) < 1e-3
+    assert rng is not None
+
+
+def test_quality_odd_tables(spark):
+    labels = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (2, None), (None, 1), (3, 7)], "doc_id long, quality int")
+    docs = documents(spark, ["good line.\nmore of it.", "$$ 11 !!", "x", None]).withColumn("quality", F.lit(5)).unionByName(documents(spark, ["good line.\nmore of it."]).withColumn("quality", F.lit(None).cast("int")))
+    for known, rows_ in ((labels, docs), (labels.limit(0), docs), (labels, docs.limit(0)), (labels.where("quality is null"), docs)):
+        model = op3_quality.fit(rows_, known)
+        got = op3_quality.score(rows_, model)
+        assert got.count() == rows_.count() and all(0 <= r.score <= 1 for r in got.collect())
+
+
+def mixed_by_brute_force(rows_, entropy, repeats):
+    """The least even exponent allowed, by a fine search, and the passes over each source."""
+    tokens = Counter()
+    for source, n in rows_:
+        tokens[source] += n
+    p = np.array([n for n in tokens.values() if n], float) / sum(tokens.values())
+
+    def entropy_of(a):
+        w = p**a / (p**a).sum()
+        return float(-(w * np.log(w)).sum())
+
+    grid = np.linspace(0, 1, 200_001)
+    a = next((x for x in grid[::-1] if entropy_of(x) >= entropy * math.log(len(p))), 0.0) if len(p) > 1 else 1.0
+    least = 1 + math.log(repeats) / math.log(p.min() / p.max()) if p.min() < p.max() else 0.0
+    a = max(a, least)
+    return a, {s: (n / max(tokens.values())) ** (a - 1) for s, n in tokens.items() if n}
+
+
+def test_mixing_against_brute_force(spark):
+    rng = random.Random(5)
+    for entropy, repeats in ((0.95, 1.5), (0.6, 100.0), (0.95, 100.0)):
+        data = []
+        for source, n in (("a", 300), ("b", 60), ("c", 9), (None, 20)):
+            data += [(len(data) + i, "w " * rng.randrange(1, 30), "en", source, 0) for i in range(n)]
+        docs = spark.createDataFrame(data, DOC).withColumns({x: F.lit(1) for x in ("quota", "before", "s_", "b_", "mix_blocks", "block_tokens", "_mix_hash", "tokens", "hash", "block")})
+        exponent, passes = mixed_by_brute_force([(s, len(t.split())) for _, t, _, s, _ in data], entropy, repeats)
+        sources = spark.createDataFrame([(str(s), sum(1 for r in data if r[3] == s), sum(len(r[1].split()) for r in data if r[3] == s)) for s in ("a", "b", "c", None)], "source string, docs long, tokens long")
+        assert abs(op4_mixing.solve(sources, entropy, repeats, None).exponent - exponent) < 1e-4
+        got = op4_mixing.mix(docs, entropy, repeats)
+        assert got.columns == [*docs.columns, "mix_tokens", "mix_weight", "mix_epoch", "mix_block"]
+        times, rows_ = Counter(), got.collect()
+        for r in rows_:
+            times[r.doc_id] += 1
+        assert len({(r.doc_id, r.mix_epoch) for r in rows_}) == len(rows_)
+        for s in ("a", "b", "c", None):
+            own = [r for r in data if r[3] == s]
+            whole, all_ = math.floor(passes[s] + 1e-6), sum(len(r[1].split()) for r in own)
+            assert all(times[r[0]] in (whole, whole + 1) for r in own)
+            last = sum(len(r[1].split()) for r in own if times[r[0]] == whole + 1)
+            quota = (passes[s] - whole) * all_
+            assert quota - 60 <= last <= quota + 0.05 * all_ * 1e-2 + 1
+
+
+def test_mixing_many_sources_and_few(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a b c " * (i % 4), "en", f"s{i % 50}" if i % 3 else "hot", 0) for i in range(600)], DOC)
+    whole = sorted(rows(op4_mixing.mix(docs)))
+    monkeypatch.setattr(op4_mixing, "FEW", 0)
+    assert sorted(rows(op4_mixing.mix(docs))) == whole
+    assert op4_mixing.mix(docs.limit(0)).count() == 0
+
+
 def test_mixing_budget(spark):
     data = [(i, "a b c d", "en", "big" if i < 400 else f"s{i % 5}", 7) for i in range(500)]
     docs = spark.createDataFrame(data, DOC)
