@@ -45,6 +45,9 @@ COORDINATES, ROWS = 80, 4
 MEMBERS, COMPARED = 65_536, 8_000_000
 #: Characters of a bucket's texts that a task holds together.
 HELD = 16_000_000
+#: A key with more rows than this, and than this share of all rows, is hot: its rows are joined where they are. So many keys are
+#: at most (the inverse of the share), which bounds what is broadcast.
+HOT, KEYS = 1000, 50_000
 
 _word: np.ndarray | None = None
 _powers = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
@@ -156,8 +159,29 @@ def agreement(least: float, k: int = COORDINATES) -> int:
     return max(1, math.floor(k * (least - 4 * math.sqrt(least * (1 - least) / k))))
 
 
-def likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Those pairs (a, b) whose sketches do not rule the similarity out."""
+def hot_keys(rows: DataFrame, key: str) -> DataFrame | None:
+    """The hot keys of a written table; None without any."""
+    total = rows.count()
+    if total <= HOT:
+        return None
+    found = written(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > max(HOT, total // KEYS)).select(key), "hot")
+    if found.isEmpty():
+        forget(found)
+        return None
+    return found
+
+
+def spread(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows joined with table, which has a key once, hot keys without a shuffle of their rows (how: inner or left)."""
+    if hot is None:
+        return rows.join(table, key, how)
+    hot = F.broadcast(hot)
+    few = F.broadcast(table.join(hot, key, "left_semi"))  # a row of each hot key at most
+    return rows.join(hot, key, "left_semi").join(few, key, how).unionByName(rows.join(hot, key, "left_anti").join(table, key, how))
+
+
+def likely(pairs: DataFrame, nodes: DataFrame, least: float, hot: DataFrame | None = None) -> DataFrame:
+    """Those pairs (a, b) whose sketches do not rule the similarity out; hot: those of b."""
     need = agreement(least)
     sides = [nodes.select(F.col("key").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
 
@@ -166,7 +190,7 @@ def likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
         keep = np.flatnonzero((x == y).sum(1) >= need)
         return {s: [got[s][i] for i in keep] for s in "ab"}
 
-    return by_batch(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sketch_a", "sketch_b"), each, "a binary, b binary")
+    return by_batch(spread(pairs.join(sides[0], "a"), sides[1], "b", hot).select("a", "b", "sketch_a", "sketch_b"), each, "a binary, b binary")
 
 
 def by_bucket(rows: DataFrame, columns: tuple[str, ...], each, schema: str) -> DataFrame:
@@ -307,10 +331,10 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / max(a[1].sum() + b[1].sum() - both, 1)
 
 
-def linked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Those pairs (a, b) of keys whose texts' shingles are at least so similar."""
+def linked(pairs: DataFrame, texts: DataFrame, least: float, hot: DataFrame | None = None) -> DataFrame:
+    """Those pairs (a, b) of keys whose texts' shingles are at least so similar; hot: those of b."""
     sides = [texts.select(F.col("key").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab"]
-    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    both = spread(pairs.join(sides[0], "a"), sides[1], "b", hot)
 
     def each(got, memo):
         out = {"a": [], "b": []}
@@ -340,17 +364,23 @@ def components(edges: DataFrame) -> DataFrame:
     """
     ways = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "ways")
     now = written(ways.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("near")).select("key", F.least("key", "near").alias("label")), "labels")
+    hubs = hot_keys(ways, "b")
     while True:
-        seen = ways.join(now.withColumnsRenamed({"key": "b", "label": "other"}), "b").groupBy(F.col("a").alias("key")).agg(F.min("other").alias("other"))
-        step = now.join(seen, "key").select("key", F.col("label").alias("old"), F.least("label", "other").alias("label"))
-        jump = now.select(F.col("key").alias("label"), F.col("label").alias("next"))
-        new = written(step.join(jump, "label", "left").select("key", "old", F.least(F.col("label"), F.coalesce("next", "label")).alias("label")), "labels")
+        seen = spread(ways, now.withColumnsRenamed({"key": "b", "label": "other"}), "b", hubs).groupBy(F.col("a").alias("key")).agg(F.min("other").alias("other"))
+        step = written(now.join(seen, "key").select("key", F.col("label").alias("old"), F.least("label", "other").alias("label")), "step")
+        hot = hot_keys(step, "label")
+        jump = now.select(F.col("key").alias("label"), F.col("label").alias("next"))  # every label is the key of a node
+        new = written(spread(step, jump, "label", hot).select("key", "old", F.least("label", "next").alias("label")), "labels")
         changed = not new.where("old != label").isEmpty()
-        forget(now)
+        for done in (now, step, hot):
+            if done is not None:
+                forget(done)
         now = new.select("key", "label")
         now._tabulark_path = new._tabulark_path
         if not changed:
-            forget(ways)
+            for done in (ways, hubs):
+                if done is not None:
+                    forget(done)
             return now
 
 
@@ -378,7 +408,8 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, compared: int = COM
         return {"doc_id": got["doc_id"], "key": got["key"], "bands": [b for b, _ in both], "sketch": [s for _, s in both]}
 
     signed = written(by_batch(base, sign, "doc_id bigint, key binary, bands array<bigint>, sketch binary"), "signed")
-    nodes = written(signed.groupBy("key").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).where("size(bands) > 0"), "nodes")
+    every = written(signed.groupBy("key").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least_id")), "nodes")
+    nodes = every.where("size(bands) > 0").select("key", "bands", "sketch")
     labels: DataFrame | None = None
     whole: DataFrame | None = None  # the large buckets of one band, all members
     rows = nodes.select("key", F.explode("bands").alias("bucket"))
@@ -393,10 +424,12 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, compared: int = COM
         if depth:  # not those that are one class already
             heads = _of(stars.select(F.col("head").alias("key")).distinct(), labels).withColumnsRenamed({"key": "head", "label": "head_label"})
             stars = _of(stars, labels).join(heads, "head").where("label != head_label")
-        stars = stars.select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
-        labels = _with(linked(likely(stars, nodes, least), texts, least), labels)
-        classed = _of(held, labels)
+        stars = written(stars.select(F.col("key").alias("a"), F.col("head").alias("b")).distinct(), "stars")
+        hot = hot_keys(stars, "b")
+        labels = _with(linked(likely(stars, nodes, least, hot), texts, least, hot), labels)
+        forget(stars)
         # comparisons between classes: all pairs less those inside a class
+        classed = _of(held, labels)
         counted = classed.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("classes"))
         mixed = counted.where("classes > 1").select("bucket", ((F.col("n") > MEMBERS) | ((F.col("n") * F.col("n") - F.col("same")) / 2 > compared)).alias("large"))
         open_ = written(classed.join(mixed, "bucket").select("bucket", "key", "label", "large"), "open")
@@ -416,9 +449,12 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, compared: int = COM
         labels = _settled(blocks, nodes, texts, labels, least)
         forget(blocks)
         forget(whole)
-    named = _of(signed.select("doc_id", "key"), labels)
-    ids = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return named.join(ids, "label").select("doc_id", "key", "class_id")
+    # classes of texts first, then of their copies
+    named = written(_of(every.select("key", "least_id"), labels), "named")
+    ids = named.groupBy("label").agg(F.min("least_id").alias("class_id"))
+    classes = written(spread(named, ids, "label", hot_keys(named, "label")).select("key", "class_id"), "classes")
+    forget(named)
+    return spread(signed.select("doc_id", "key"), classes, "key", hot_keys(signed, "key")).select("doc_id", "key", "class_id")
 
 
 def _blocks(classed: DataFrame, compared: int) -> DataFrame:
@@ -464,7 +500,7 @@ def _with(links: DataFrame, labels: DataFrame | None):
     if labels is None:
         new = joined_
     else:
-        moved = labels.join(joined_.select(F.col("key").alias("label"), F.col("label").alias("next")), "label", "left").select("key", F.coalesce("next", "label").alias("label"))
+        moved = spread(labels, joined_.select(F.col("key").alias("label"), F.col("label").alias("next")), "label", hot_keys(labels, "label"), "left").select("key", F.coalesce("next", "label").alias("label"))
         new = written(moved.union(joined_.join(labels, "key", "left_anti").select("key", "label")), "labels")
         forget(joined_)
         forget(labels)

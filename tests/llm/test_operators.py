@@ -334,8 +334,9 @@ def near_by_brute_force(texts):
     return label
 
 
-@pytest.mark.parametrize("compared", [8_000_000, 3])
-def test_near_classes_against_brute_force(spark, compared):
+@pytest.mark.parametrize("compared, hot", [(8_000_000, 1000), (3, 1000), (8_000_000, 5)])
+def test_near_classes_against_brute_force(spark, monkeypatch, compared, hot):
+    monkeypatch.setattr(op6_dedup, "HOT", hot)
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdef") for _ in range(4))
     common = " ".join(word() for _ in range(60))
