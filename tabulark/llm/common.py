@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 #: Bytes of strings that a Python worker turns into its own objects at a time.
 SLICE = 4_000_000
 
+#: Tables of written() that are not deleted yet.
+_paths: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
@@ -40,17 +43,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tabulark_path = path  # type: ignore[attr-defined]
+    _paths.add(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    where.getFileSystem(conf).delete(where, True)
+    _paths.discard(path)
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table made by written() that nothing reads any more."""
     path = getattr(df, "_tabulark_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        where.getFileSystem(conf).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+def forget_all(spark: SparkSession) -> None:
+    """Delete all tables that written() made in this program: for the end of a job, when its results are used or saved."""
+    for path in list(_paths):
+        _delete(spark, path)
 
 
 def remainder(doc_id, n: int):
