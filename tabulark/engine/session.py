@@ -19,7 +19,7 @@ from . import statements as P
 from .catalog import Catalog, Column, Conflict, Index, Table
 
 #: Buckets of an index's layout at least and at most, entries of one aimed at; parts of an index that are left apart.
-INDEX_BUCKETS, MOST_BUCKETS, ENTRIES, PARTS = 32, 4096, 1_000_000, 16
+INDEX_BUCKETS, MOST_BUCKETS, ENTRIES, PARTS = 4, 4096, 1_000_000, 16
 
 
 class EngineError(ValueError):
