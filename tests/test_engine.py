@@ -248,3 +248,12 @@ def test_char_hash(spark):
 def test_presorted_join_has_no_exchange(spark):
     plan = catalogue.queries()["join_presorted"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan and plan.count("Bucketed: true") == 2, plan
+
+
+def test_explain_trace_lines(spark):
+    got = [r.step for r in catalogue.queries()["explain_trace"](spark, SF).orderBy("line").collect()]
+    tree = ["[DISTINCT] all columns", "  [JOIN] n.region = r.id", "    [SCAN] nations", "    [FILTER] name = ASIA", "      [SCAN] regions"]
+    assert got[: len(tree) + 4] == ["=== Logical Plan ===", *tree, "=== Physical Plan ===", "SortBasedDistinct", "=== Query Optimizer Trace ==="]
+    costs = [(X.pages(25, 33), None), (X.pages(5, 29), None), (X.block_nested_loop(25, 5), X.merge_join(25, 5)), (X.sort_distinct(25), X.hash_distinct(25))]
+    for step, (cost, other) in zip(got[len(tree) + 4 :], costs, strict=True):
+        assert f"(cost={cost:.1f}) over" in step and (other is None or f"(cost={other:.1f}) —" in step)
