@@ -478,23 +478,27 @@ def extract_text(pages: DataFrame) -> DataFrame:
     base = pages.select("page_id", "url", "html", parse(F.col("url"))[0].alias("host"))
     plans = written(wrappers(base), "wrappers")
     size = plans.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("host")), F.lit(0))).first()[0]
-    if size <= BROADCAST:
-        joined = base.join(F.broadcast(plans), "host", "left")
+    spark, few = pages.sparkSession, size <= BROADCAST
+    if few:  # a page brings its host's name, not its wrapper
+        joined = base.select("page_id", "url", "html", F.col("host").alias("plan"))
+        held = spark.sparkContext.broadcast({r.host: r.wrapper for r in plans.collect()})
     else:  # a host's pages are dealt to several tasks, each of which gets the wrapper
         salts = plans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = base.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("int")).join(salts, ["host", "salt"], "left")
+        joined, held = joined.select("page_id", "url", "html", F.col("wrapper").alias("plan")), None
 
     def each(got, seen):
         text = []
-        for page, plan in zip(got["html"], got["wrapper"]):
+        for page, plan in zip(got["html"], got["plan"]):
             if plan is not None and plan not in seen:
                 if len(seen) >= 200:
                     seen.clear()
-                seen[plan] = judged(Part.of(json.loads(plan)))
+                found = held.value.get(plan) if few else plan
+                seen[plan] = None if found is None else judged(Part.of(json.loads(found)))
             text.append(extract(page, seen.get(plan)))
         return {"page_id": got["page_id"], "url": got["url"], "text": text, "n_chars": [len(t) for t in text]}
 
-    return by_batch(joined.select("page_id", "url", "html", "wrapper"), each, "page_id bigint, url string, text string, n_chars bigint", dict)
+    return by_batch(joined, each, "page_id bigint, url string, text string, n_chars bigint", dict)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
